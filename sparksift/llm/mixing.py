@@ -6,10 +6,12 @@ documents. Its whole part is certain, the fraction is rounded: documents of a
 source lie ordered by size, longest first so that what is left over is short, in
 leaves of about LEAF_ITEMS. In a leaf, fractions
 meet in turn and mass moves at random from one to the other until one is
-integral, which is decided; what is left of the leaf is one fraction at most.
+integral, which is decided; the mass is counted in words, so that no meeting
+changes the expected words of the source. What is left of the leaf is one
+fraction at most.
 Leaves' residuals meet in the same way, LEAF_ITEMS at a time, up a tree to one
-residual per source. Every document keeps its expectation, and the copies of any
-run of similar sizes add up to nearly their sum.
+residual per source, of a short document. Every document keeps its expectation,
+and a source misses its target by less than that document.
 
 All draws are hashes of `seed`, the id and the text, so that reruns agree.
 
@@ -55,26 +57,36 @@ def _draw(level: int, seed: int, *keys: Column) -> Column:
 
 
 def _meet(items: Column, kind: str, level: int, seed: int) -> Column:
-    """One leaf: array of (.., k, p) -> (has, k, p, done): the residual, and what was decided."""
+    """One leaf: array of (size, k, p) -> (has, k, size, p, done): the residual, and what was decided.
+
+    A meeting moves t words of expected mass one way or the other, with chances
+    that keep both expectations: p_a * size_a + p_b * size_b stays as it is.
+    """
     done_type = f"array<struct<k:{kind},z:int>>"
-    start = F.struct(F.lit(False).alias("has"), F.lit(None).cast(kind).alias("k"), F.lit(0.0).alias("p"), F.array().cast(done_type).alias("done"))
+    none = F.array().cast(done_type)
+
+    def state(has: Column, k: Column, size: Column, p: Column, done: Column) -> Column:
+        return F.struct(has.alias("has"), k.cast(kind).alias("k"), size.cast("bigint").alias("size"), p.cast("double").alias("p"), done.cast(done_type).alias("done"))
 
-    def decided(k: Column, z: int) -> Column:
-        return F.array(F.struct(k.alias("k"), F.lit(z).alias("z")))
+    def decided(k: Column, z: Column) -> Column:
+        return F.array(F.struct(k.alias("k"), z.cast("int").alias("z"))).cast(done_type)
 
-    def state(has, k: Column, p: Column, done: Column) -> Column:
-        return F.struct(has.alias("has"), k.cast(kind).alias("k"), p.alias("p"), done.cast(done_type).alias("done"))
+    def left(k: Column, size: Column, p: Column, done: Column) -> Column:
+        """The residual, decided as well if it is integral by now."""
+        whole = (p < EPS) | (p > 1 - EPS)
+        return state(~whole, k, size, p, F.concat(done, F.when(whole, decided(k, F.round(p))).otherwise(none)))
 
     def merge(acc: Column, x: Column) -> Column:
-        a, b = acc["p"], x["p"]
-        s = a + b
+        a, b, sa, sb = acc["p"], x["p"], acc["size"], x["size"]
+        up, down = F.least((1 - a) * sa, b * sb), F.least(a * sa, (1 - b) * sb)
         u = _draw(level, seed, x["k"])
-        low = F.when(u < a / s, state(F.lit(True), acc["k"], s, F.concat(acc["done"], decided(x["k"], 0)))).otherwise(state(F.lit(True), x["k"], s, F.concat(acc["done"], decided(acc["k"], 0))))
-        high = F.when(u < (1 - b) / (2 - s), state(s - 1 > EPS, x["k"], s - 1, F.concat(acc["done"], decided(acc["k"], 1), F.when(s - 1 > EPS, F.array().cast(done_type)).otherwise(decided(x["k"], 0))))).otherwise(
-            state(s - 1 > EPS, acc["k"], s - 1, F.concat(acc["done"], decided(x["k"], 1), F.when(s - 1 > EPS, F.array().cast(done_type)).otherwise(decided(acc["k"], 0))))
-        )
-        return F.when(~acc["has"], state(F.lit(True), x["k"], b, acc["done"])).when(s < 1 - EPS, low).otherwise(high)
+        keep_x = lambda z, p: left(x["k"], sb, p, F.concat(acc["done"], decided(acc["k"], F.lit(z))))
+        keep_a = lambda z, p: left(acc["k"], sa, p, F.concat(acc["done"], decided(x["k"], F.lit(z))))
+        rise = F.when((1 - a) * sa <= b * sb, keep_x(1, b - up / sb)).otherwise(keep_a(0, a + up / sa))
+        fall = F.when(a * sa <= (1 - b) * sb, keep_x(0, b + down / sb)).otherwise(keep_a(1, a - down / sa))
+        return F.when(~acc["has"], state(F.lit(True), x["k"], sb, b, acc["done"])).when(u < down / (up + down), rise).otherwise(fall)
 
+    start = state(F.lit(False), F.lit(None), F.lit(0), F.lit(0.0), none)
     return F.aggregate(items, start, merge)
 
 
@@ -102,16 +114,16 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
 
     # The tree above the leaves: k is now the leaf whose residual a fraction is.
     last = met.agg(F.max("node")).first()[0]
-    left = met.where("r.has").select("source", "node", F.col("node").alias("k"), F.col("r.p").alias("p"))
+    left = met.where("r.has").select("source", "node", F.col("r.size").alias("size"), F.col("node").alias("k"), F.col("r.p").alias("p"))
     leaves = None
     level = 1
     while last is not None:
         last //= LEAF_ITEMS
         group = F.floor(F.col("node") / LEAF_ITEMS).cast("long")
-        up = cut(left.groupBy("source", group.alias("node")).agg(F.sort_array(F.collect_list(F.struct("node", "k", "p")), False).alias("items")).select("source", "node", _meet(F.col("items"), "bigint", level, seed).alias("r")))
+        up = cut(left.groupBy("source", group.alias("node")).agg(F.sort_array(F.collect_list(F.struct("node", "size", "k", "p")), False).alias("items")).select("source", "node", _meet(F.col("items"), "bigint", level, seed).alias("r")))
         some = up.select("source", F.explode("r.done").alias("d")).select("source", F.col("d.k").alias("node"), "d.z")
         leaves = some if leaves is None else leaves.unionByName(some)
-        left = up.where("r.has").select("source", "node", F.col("r.k").alias("k"), F.col("r.p").alias("p"))
+        left = up.where("r.has").select("source", "node", F.col("r.size").alias("size"), F.col("r.k").alias("k"), F.col("r.p").alias("p"))
         level += 1
         if last == 0:
             top = left.select("source", F.col("k").alias("node"), (_draw(level, seed, F.col("source"), F.col("k")) < F.col("p")).cast("int").alias("z"))
