@@ -14,6 +14,8 @@ WS = r"[\x20\x09-\x0D]+"
 WS_CHARS = " \t\n\x0b\x0c\r"
 #: A key is hot when it holds more than 1/HEAVY_PARTS of all rows, so there are fewer than HEAVY_PARTS hot keys whatever the data.
 HEAVY_PARTS = 1000
+#: So many rows at most are broadcast where their number was counted first.
+BROADCAST_ROWS = 200_000
 #: Fewer rows than this in a group never make its key hot.
 HEAVY_LEAST = 20_000
 
@@ -70,6 +72,25 @@ def hot_join(left: DataFrame, right: DataFrame, keys: list[str], count: str, tot
     return a.unionByName(b).drop(*drop)
 
 
+def drop_rows(docs: DataFrame, judged: DataFrame, id_col: str, key: Column) -> DataFrame:
+    """The rows of docs without those that judged(id, key, kept) drops, with all their columns.
+
+    A row is found by its id and `key`, a hash of its text. Where rows repeat both
+    and only some are kept, one stays. Up to BROADCAST_ROWS dropped keys are broadcast.
+    """
+    sums = cut(judged.groupBy("id", "key").agg(F.max("kept").alias("some"), F.min("kept").alias("every")).where(~F.col("every")))
+    gone = sums.select(F.col("id").alias("__id"), F.col("key").alias("__key"), "some")
+    n, again = gone.agg(F.count(F.lit(1)), F.coalesce(F.max("some"), F.lit(False))).first()
+    gone = F.broadcast(gone) if n <= BROADCAST_ROWS else gone.hint("shuffle_hash")
+    rows = docs.withColumn("__k", key)
+    on = rows[id_col].eqNullSafe(F.col("__id")) & (rows["__k"] == F.col("__key"))
+    if not again:
+        return rows.join(gone, on, "left_anti").select(*docs.columns)
+    rest = rows.join(gone, on, "left_anti")
+    one = rows.join(gone.where("some"), on, "left_semi").dropDuplicates([id_col, "__k"])
+    return rest.unionByName(one).select(*docs.columns)
+
+
 def arrow_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of an Arrow string column without nulls, and where each value starts; the last offset ends the last."""
     wide = np.int64 if "large" in str(column.type) else np.int32

@@ -24,15 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WS, arrow_bytes, cut, hot_join, text_of
+from .common import BROADCAST_ROWS, WS, arrow_bytes, cut, drop_rows, hot_join, text_of
 
 PRIMES = (2147483647, 2147483629)
 BASES = (1103515245, 1469598103)
 CHUNK_BYTES = 1 << 16
 #: Members of a group that are compared in one task, about.
 GROUP_ROWS = 10_000
-#: So many candidate rows at most are broadcast to fetch their texts; more are shuffled.
-BROADCAST_ROWS = 200_000
 KEYS = ["n_bytes", "fp1", "fp2"]
 
 
@@ -172,3 +170,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         done = out if done is None else done.unionByName(out)
         todo = cut(todo.join(w, on, "left_semi"))
         turn += 1
+
+
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs that stay, with all their columns."""
+    judged = exact_dedup(docs, id_col, text_col, **options).select(F.col(id_col).alias("id"), F.col("text_sha256").alias("key"), "kept")
+    return drop_rows(docs, judged, id_col, F.sha2(F.regexp_replace(F.coalesce(docs[text_col], F.lit("")), WS, " "), 256))

@@ -34,13 +34,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_bytes, cut, hot_join, mix64, text_of
+from .common import BROADCAST_ROWS, arrow_bytes, cut, drop_rows, hot_join, mix64, text_of
 from .components import components
 from .words import sequence_hashes, shingle_hashes, word_hashes
 
 BANDS, ROWS = 24, 4
-#: So many rows at most are broadcast to fetch their texts; more are shuffled.
-BROADCAST_ROWS = 200_000
 _G = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -220,3 +218,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = cut(out.groupBy("comp").agg(F.count(F.lit(1)).alias("class_size"), F.min(F.struct(F.isnull("id").alias("no_id"), "id", "rid")).alias("head")))
     out = hot_join(out, classes, ["comp"], "class_size", total)
     return out.select(F.col("id").alias(id_col), F.col("head.id").alias("class_id"), "class_size", (F.col("rid") == F.col("head.rid")).alias("kept"), "th")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row of each class, with all columns of docs."""
+    judged = near_duplicates(docs, id_col, text_col, **options).select(F.col(id_col).alias("id"), F.col("th").alias("key"), "kept")
+    return drop_rows(docs, judged, id_col, F.xxhash64(F.coalesce(docs[text_col], F.lit(""))))

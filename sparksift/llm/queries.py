@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, minhash, mixing, packing, quality, sharding, url_filter
+import corpus_pipeline
+
+from . import exact_dedup, language_id, line_dedup, minhash, mixing, packing, quality, sharding, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +36,16 @@ FROM t
 """
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify_documents(_table(spark, sf_dir, "documents")).drop("th")
+
+
+def op3_language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same operator over raw pages, with all its kinds of evidence; the text models are those of the documents."""
+    langs, table = language_id.fit(_table(spark, sf_dir, "documents"), "doc_id", "text", "lang", 4000)
+    return language_id.identify(language_id.pages_rows(_table(spark, sf_dir, "pages")), langs, table).drop("th").withColumnRenamed("id", "page_id")
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.line_dedup(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -111,12 +123,15 @@ def queries() -> dict[str, Query]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
         "op2_packing": op2_packing,
+        "op3_language_id": op3_language_id,
+        "op3_language_id_pages": op3_language_id_pages,
         "op4_line_dedup": op4_line_dedup,
         "op5_url_filter": op5_url_filter,
         "op6_quality": op6_quality,
         "op7_minhash": op7_minhash,
         "op8_sharding": op8_sharding,
         "op9_mixing": op9_mixing,
+        "pipeline": corpus_pipeline.run,
     }
 
 
