@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BROADCAST_ROWS, WS, arrow_bytes, cut, drop_rows, hot_join, text_of
+from .common import BROADCAST_ROWS, WS, arrow_bytes, cut, drop_rows, hot_join, text_of, tidy
 
 PRIMES = (2147483647, 2147483629)
 BASES = (1103515245, 1469598103)
@@ -85,7 +85,7 @@ def combine_chunks(chunks: DataFrame, key: str, primes=PRIMES, bases=BASES) -> D
 
     slim = chunks.select(key, F.col("chunk_no").cast("long").alias("chunk_no"), F.coalesce("chunk", F.lit(b"")).alias("chunk"))
     kind = chunks.schema[key].dataType.simpleString()
-    each = slim.mapInArrow(hashes, f"{key} {kind}, no long, len long, h1 long, h2 long")
+    each = slim.mapInArrow(tidy(hashes), f"{key} {kind}, no long, len long, h1 long, h2 long")
     parts = each.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("no", "len", "h1", "h2"))).alias("p"))
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,7 +98,7 @@ def combine_chunks(chunks: DataFrame, key: str, primes=PRIMES, bases=BASES) -> D
                 rows.append((hs[0][1], hs[0][0], hs[1][0]))
             yield pa.RecordBatch.from_arrays([b.column(key), *[pa.array([r[i] for r in rows], pa.int64()) for i in range(3)]], names=[key, *KEYS])
 
-    return parts.mapInArrow(fold, f"{key} {kind}, n_bytes long, fp1 long, fp2 long")
+    return parts.mapInArrow(tidy(fold), f"{key} {kind}, n_bytes long, fp1 long, fp2 long")
 
 
 def _fingerprints(base: DataFrame, primes, bases, chunk_bytes: int) -> DataFrame:
@@ -109,7 +109,7 @@ def _fingerprints(base: DataFrame, primes, bases, chunk_bytes: int) -> DataFrame
             fps = [fingerprint(d[s:e], tables, primes, bases) for s, e in zip(o[:-1], o[1:])]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("sha"), pa.array(o[1:] - o[:-1], pa.int64()), pa.array([f[0] for f in fps], pa.int64()), pa.array([f[1] for f in fps], pa.int64())], names=["id", "sha", *KEYS])
 
-    return base.mapInArrow(run, T.StructType([base.schema["id"], base.schema["sha"], *[T.StructField(k, T.LongType()) for k in KEYS]]))
+    return base.mapInArrow(tidy(run), T.StructType([base.schema["id"], base.schema["sha"], *[T.StructField(k, T.LongType()) for k in KEYS]]))
 
 
 def _chunks(rows: DataFrame, chunk_bytes: int) -> DataFrame:
@@ -126,7 +126,7 @@ def _chunks(rows: DataFrame, chunk_bytes: int) -> DataFrame:
                     take = pa.array([i] * len(some), pa.int64())
                     yield pa.RecordBatch.from_arrays([*[batch.column(c).take(take) for c in rest], pa.array(range(a, a + len(some)), pa.int64()), pa.array([d[x : min(x + chunk_bytes, int(e))].tobytes() for x in some], pa.binary())], names=[*rest, "chunk_no", "chunk"])
 
-    return rows.select(*rest, "norm").mapInArrow(run, T.StructType([*[rows.schema[c] for c in rest], T.StructField("chunk_no", T.LongType()), T.StructField("chunk", T.BinaryType())]))
+    return rows.select(*rest, "norm").mapInArrow(tidy(run), T.StructType([*[rows.schema[c] for c in rest], T.StructField("chunk_no", T.LongType()), T.StructField("chunk", T.BinaryType())]))
 
 
 def _different(base: DataFrame, cand: DataFrame, n_cand: int, chunk_bytes: int) -> DataFrame:

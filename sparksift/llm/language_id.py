@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_bytes, ascii_lower, cut, drop_rows, hot_join, spans, text_of
+from .common import arrow_bytes, ascii_lower, cut, drop_rows, hot_join, spans, text_of, tidy
 
 BUCKETS = 1 << 16
 BLOCK_BYTES = 1 << 20
@@ -84,7 +84,7 @@ def fit(docs: DataFrame, id_col: str, text_col: str, label_col: str, fit_rows: i
             at = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at.astype(np.int32)), pa.array(c[at])], names=["lang", "bucket", "n"])
 
-    got = sample.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    got = sample.mapInArrow(tidy(count), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     by_lang = got.groupby("lang")["n"].sum().sort_values(ascending=False)
     langs = sorted(by_lang.index[:MOST_LANGUAGES])
     table = np.full((BUCKETS, len(langs)), 0.1)
@@ -129,7 +129,7 @@ def text_likelihoods(rows: DataFrame, langs: list[str], table: np.ndarray) -> Da
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(counts), lists], names=[*keep, "n", "ll"])
 
     schema = T.StructType([*[rows.schema[c] for c in keep], T.StructField("n", T.LongType()), T.StructField("ll", T.ArrayType(T.DoubleType()))])
-    return rows.select(*keep, "txt").mapInArrow(run, schema)
+    return rows.select(*keep, "txt").mapInArrow(tidy(run), schema)
 
 
 def _softmax(logs: list[Column], name: str) -> Column:

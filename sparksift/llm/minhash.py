@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BROADCAST_ROWS, arrow_bytes, cut, drop_rows, hot_join, mix64, text_of
+from .common import BROADCAST_ROWS, arrow_bytes, cut, drop_rows, hot_join, mix64, text_of, tidy
 from .components import components
 from .words import sequence_hashes, shingle_hashes, word_hashes
 
@@ -129,7 +129,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, bands: int = BANDS,
                 yield pa.RecordBatch.from_arrays([b.column("id").slice(i, j - i), b.column("th").slice(i, j - i), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), pa.array(n.astype(np.int64)), lists], names=["id", "th", "fp1", "fp2", "n", "bands"])
 
     schema = T.StructType([base.schema["id"], *[T.StructField(c, T.LongType()) for c in ("th", "fp1", "fp2", "n")], T.StructField("bands", T.ArrayType(T.LongType()))])
-    return base.select("id", "th", "txt").mapInArrow(run, schema)
+    return base.select("id", "th", "txt").mapInArrow(tidy(run), schema)
 
 
 def _bags(texts: DataFrame) -> DataFrame:
@@ -143,7 +143,7 @@ def _bags(texts: DataFrame) -> DataFrame:
                 out = [np.sort(g[s:e]).tobytes() for s, e in zip(start[:-1], start[1:])]
                 yield pa.RecordBatch.from_arrays([b.column("nid").slice(i, j - i), pa.array(out, pa.binary())], names=["nid", "bag"])
 
-    return texts.select("nid", "txt").mapInArrow(run, "nid long, bag binary")
+    return texts.select("nid", "txt").mapInArrow(tidy(run), "nid long, bag binary")
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> float:
@@ -175,7 +175,7 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, id_col: str, t
             keep = [overlap(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) >= threshold for x, y in zip(b.column("bag_a"), b.column("bag_b"))]
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "bag_a", "bag_b").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "bag_a", "bag_b").mapInArrow(tidy(run), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS) -> DataFrame:

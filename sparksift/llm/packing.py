@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, text_of
+from .common import cut, text_of, tidy
 
 BLOCK_ITEMS = 16_384
 #: Merging one piece of text of n characters takes n ** 2 steps in the fast tokenizer; longer runs than this go to the other one.
@@ -91,7 +91,7 @@ def pieces_of(docs: DataFrame, id_col: str, text_col: str, capacity: int, end_id
                     a, k = e, k + 1
             yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(at, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=["id", "piece", "start", "length", "ids_crc32"])
 
-    return base.mapInArrow(run, T.StructType([base.schema["id"], *[T.StructField(n, t) for n, t in (("piece", T.IntegerType()), ("start", T.LongType()), ("length", T.LongType()), ("ids_crc32", T.LongType()))]]))
+    return base.mapInArrow(tidy(run), T.StructType([base.schema["id"], *[T.StructField(n, t) for n, t in (("piece", T.IntegerType()), ("start", T.LongType()), ("length", T.LongType()), ("ids_crc32", T.LongType()))]]))
 
 
 class Bins:
