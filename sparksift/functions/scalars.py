@@ -69,7 +69,8 @@ def entropy(binary: Column) -> Column:
     """Shannon entropy of the bytes, in bits; 0 for none."""
     v = latin1(binary)
     n = F.length(v)
-    counts = F.filter(F.transform(F.sequence(F.lit(0), F.lit(255)), lambda b: n - F.length(F.replace(v, F.decode(F.unhex(F.lpad(F.hex(b), 2, "0")), "ISO-8859-1"), F.lit("")))), lambda c: c > 0)
+    present = F.filter(F.array_distinct(F.split(v, "")), lambda c: c != "")
+    counts = F.transform(present, lambda c: n - F.length(F.replace(v, c, F.lit(""))))
     parts = F.aggregate(counts, F.lit(0.0), lambda acc, c: acc - (c / n) * F.log2(c / n))
     return F.when(n > 0, parts).otherwise(F.lit(0.0))
 
