@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import exact_dedup, language_id, line_dedup, minhash, mixing, packing, quality, sharding, url_filter
+from . import exact_dedup, language_id, line_dedup, minhash, mixing, ngram, packing, quality, sharding, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -119,6 +119,10 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
 
 
+def op10_ngram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram.score(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
@@ -131,6 +135,7 @@ def queries() -> dict[str, Query]:
         "op7_minhash": op7_minhash,
         "op8_sharding": op8_sharding,
         "op9_mixing": op9_mixing,
+        "op10_ngram": op10_ngram,
         "pipeline": corpus_pipeline.run,
     }
 
