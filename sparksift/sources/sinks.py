@@ -21,7 +21,7 @@ def csv_rows(results: DataFrame, path_col: str) -> DataFrame:
     error = F.coalesce("error", F.lit("")) if "error" in results.columns else F.lit("")
     r = results.select(F.col(path_col).alias("path"), status.alias("status"), "level", F.explode_outer("matches").alias("m"), error.alias("error"))
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    return r.select("path", "status", "level", text("m.rule_id").alias("rule_id"), text("m.offset").alias("offset"), text("m.length").alias("length"), F.coalesce(F.format_string("%.4f", "m.confidence"), F.lit("")).alias("confidence"), "error")
+    return r.select("path", "status", "level", text("m.rule_id").alias("rule_id"), text("m.offset").alias("offset"), text("m.length").alias("length"), F.when(F.col("m.confidence").isNull(), "").otherwise(F.format_string("%.4f", "m.confidence")).alias("confidence"), "error")
 
 
 def audit_rows(results: DataFrame, path_col: str, least: int = 1) -> DataFrame:
