@@ -79,15 +79,15 @@ def drop_rows(docs: DataFrame, judged: DataFrame, id_col: str, key: Column) -> D
     and only some are kept, one stays. Up to BROADCAST_ROWS dropped keys are broadcast.
     """
     sums = cut(judged.groupBy("id", "key").agg(F.max("kept").alias("some"), F.min("kept").alias("every")).where(~F.col("every")))
-    gone = sums.select(F.col("id").alias("__id"), F.col("key").alias("__key"), "some")
+    gone = sums.select(F.col("id").alias("__sparksift_id"), F.col("key").alias("__sparksift_key"), "some")
     n, again = gone.agg(F.count(F.lit(1)), F.coalesce(F.max("some"), F.lit(False))).first()
     gone = F.broadcast(gone) if n <= BROADCAST_ROWS else gone.hint("shuffle_hash")
-    rows = docs.withColumn("__k", key)
-    on = rows[id_col].eqNullSafe(F.col("__id")) & (rows["__k"] == F.col("__key"))
+    rows = docs.withColumn("__sparksift_k", key)
+    on = rows[id_col].eqNullSafe(F.col("__sparksift_id")) & (rows["__sparksift_k"] == F.col("__sparksift_key"))
     if not again:
         return rows.join(gone, on, "left_anti").select(*docs.columns)
     rest = rows.join(gone, on, "left_anti")
-    one = rows.join(gone.where("some"), on, "left_semi").dropDuplicates([id_col, "__k"])
+    one = rows.join(gone.where("some"), on, "left_semi").dropDuplicates([id_col, "__sparksift_k"])
     return rest.unionByName(one).select(*docs.columns)
 
 

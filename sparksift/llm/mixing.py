@@ -141,7 +141,7 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The documents of the mix, each repeated as often as it is taken, with all columns of docs."""
-    got = copies(docs, id_col, text_col, source_col, **options).where("copies > 0").select(F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), F.col("th").alias("__th"), F.col("copies").alias("__copies")).distinct()
-    on = docs[id_col].eqNullSafe(F.col("__id")) & docs[source_col].eqNullSafe(F.col("__source")) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == F.col("__th"))
+    got = copies(docs, id_col, text_col, source_col, **options).where("copies > 0").select(F.col(id_col).alias("__sparksift_id"), F.col(source_col).alias("__sparksift_source"), F.col("th").alias("__sparksift_th"), F.col("copies").alias("__sparksift_copies")).distinct()
+    on = docs[id_col].eqNullSafe(F.col("__sparksift_id")) & docs[source_col].eqNullSafe(F.col("__sparksift_source")) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == F.col("__sparksift_th"))
     both = docs.join(got.hint("shuffle_hash"), on)
-    return both.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    return both.withColumn("__sparksift_copy", F.explode(F.sequence(F.lit(1), F.col("__sparksift_copies")))).select(*docs.columns)
