@@ -100,9 +100,8 @@ def candidates(chunks: DataFrame, catalog: Catalog, options: ScanOptions | None
 def keyword_positions(text: Column, word: Column) -> Column:
     """Where the word starts in the text, in characters from 0, overlapping occurrences included."""
     parts = F.split(text, F.concat(F.lit("(?=\\Q"), word, F.lit("\\E)")), -1)
-    ends = F.transform(parts, lambda p, i: F.struct(p.alias("p"), i.alias("i")))
-    at = F.transform(ends, lambda x: F.struct(x["p"].alias("p"), F.aggregate(F.slice(parts, 1, x["i"]), F.lit(0), lambda a, q: a + F.length(q)).alias("at")))
-    return F.transform(F.filter(at, lambda x: F.startswith(x["p"], word)), lambda x: x["at"])
+    at = F.transform(parts, lambda p, i: F.aggregate(F.slice(parts, 1, i), F.lit(0), lambda a, q: a + F.length(q)))
+    return F.filter(at, lambda x, i: (i > 0) | F.startswith(text, word))
 
 
 def distance(at: Column, start: Column, end: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import byte_view
 from ..rules.catalog import DEFAULT
 from ..rules.model import Catalog, ScanOptions
-from .detect import distance, has_keyword, keyword_positions, view, zone
+from .detect import distance, has_keyword, keyword_positions, spread, view, zone
 
 
 def keyword_table(spark, catalog: Catalog) -> DataFrame:
@@ -28,7 +28,7 @@ def keyword_hits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for w, p in r.keywords:
             entries.setdefault(w, []).append((r.id, p))
     words = F.array(*[F.struct(F.lit(w).alias("keyword"), F.lit(view(w)).alias("view"), F.array(*[F.struct(F.lit(i).alias("rule_id"), F.lit(p).alias("pri")) for i, p in e]).alias("entries")) for w, e in sorted(entries.items())])
-    d = docs.select(F.col(id_col), F.lower(text_col).alias("__low"))
+    d = spread(docs.select(F.col(id_col), F.col(text_col).alias("__t"))).select(id_col, F.lower("__t").alias("__low"))
     d = d.withColumn("__near", F.filter(words, lambda k: F.contains(F.col("__low"), k["keyword"]))).where(F.size("__near") > 0)
     d = d.select(id_col, byte_view(F.col("__low")).alias("__v"), F.explode("__near").alias("k"))
     d = d.select(id_col, "k", F.explode(keyword_positions(F.col("__v"), F.col("k.view"))).alias("offset"))
@@ -37,7 +37,8 @@ def keyword_hits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def has_rule(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", catalog: Catalog = DEFAULT) -> DataFrame:
     """Per document the rules of which it contains some keyword."""
-    low = F.lower(text_col)
+    docs = spread(docs.select(F.col(id_col), F.col(text_col).alias("__t"))).select(id_col, F.lower("__t").alias("__low"))
+    low = F.col("__low")
     flags = F.array(*[F.when(has_keyword(low, [w for w, _ in r.keywords]), r.id) for r in catalog.ordered()])
     return docs.select(id_col, F.explode(F.array_compact(flags)).alias("rule_id"))
 
