@@ -88,6 +88,11 @@ def test_chunks_keep_offsets_across_characters(spark):
     found = findings(docs(spark, text), catalog=c, options=o)
     assert {r["offset"] for r in found.collect()} == {text.encode().index(b"123456")}
     assert distinct_findings(found).count() == 1
+    longer = docs(spark, *[(" 123456 é 654321" * k)[k:] for k in range(1, 40)])
+    many = findings(longer, catalog=c, options=o)
+    counts = {r["doc_id"]: r["count"] for r in distinct_findings(many).groupBy("doc_id").count().collect()}
+    assert many.count() > sum(counts.values())
+    assert {r["doc_id"]: r["match_count"] for r in document_levels(longer, many, catalog=c, options=o).collect() if r["match_count"]} == counts
     parts = chunk(docs(spark, text), "text", o).orderBy("chunk_idx").collect()
     raw = text.encode()
     assert all(raw[r["base_offset"] :].startswith(r["chunk"].encode()) for r in parts)
