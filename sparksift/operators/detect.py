@@ -16,15 +16,14 @@ from pyspark.sql import functions as F
 from ..functions.dialect import to_java
 from ..functions.levels import INTERNAL, level_code
 from ..functions.scalars import VALIDATORS, byte_slice, clamp01, latin1, mask
-from ..rules.catalog import DEFAULT
+from ..rules.catalog import CARD_CODE, CARD_EXPIRY, DEFAULT
 from ..rules.model import Catalog, Pattern, Rule, ScanOptions
 from .chunk import chunk as to_chunks
 
 PLACEHOLDERS = r"your_api_key_here|your[-_]?password|changeme|placeholder|dummy|example|xxxxx|\*\*\*|\$\{"
 NO_REPLY = r"^(?:no-?reply|donotreply|mailer-daemon|bounce)@"
 COMMENT = r"^[\s\u0085  -     　]*(?:#|//|;)"
-CVV = to_java(r"(?i)(?:cvc|cvv|security\s*code)\D{0,5}(\d{3,4})\b")
-EXPIRY = to_java(r"\b(?:0[1-9]|1[0-2])[-/](?:\d{4}|\d{2})\b")
+CVV, EXPIRY = to_java(CARD_CODE), to_java(CARD_EXPIRY)
 AROUND, SNIPPET = 300, 60
 SPACES = "[\\t\\n\\f\\r \\u000b]"
 

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from ..functions.levels import level_code
 from ..functions.scalars import BANK3, BANK4, PROVINCES
+from ..rules.catalog import CARD_CODE, CARD_EXPIRY
 from ..rules.model import Catalog, ScanOptions
 
 
@@ -114,7 +115,7 @@ scored AS (
 ),
 checked AS (SELECT *, CASE WHEN validators <> '' THEN least(s0 + {options.validator_bonus}, {options.validator_most}) ELSE s0 END AS s1 FROM scored),
 boosted AS (
-  SELECT *, CASE WHEN card_boost > 0 AND regexp_matches(wide, '(?i)(?:cvc|cvv|security\\s*code)\\D{{0,5}}(\\d{{3,4}})\\b') AND regexp_matches(wide, '\\b(?:0[1-9]|1[0-2])[-/](?:\\d{{4}}|\\d{{2}})\\b')
+  SELECT *, CASE WHEN card_boost > 0 AND regexp_matches(wide, {q(CARD_CODE)}) AND regexp_matches(wide, {q(CARD_EXPIRY)})
                  THEN least(1.0, s1 + card_boost) ELSE s1 END AS confidence
   FROM checked
 ),

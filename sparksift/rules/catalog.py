@@ -54,10 +54,17 @@ def year(low: str) -> str:
 
 D4, D8, D9, D10, D12, D13 = (rf"[0-9]{{{n}}}" for n in (4, 8, 9, 10, 12, 13))
 CARD_GATE = r"[0-9]{4}[-\t\n\f\r ]?[0-9]{4,6}[-\t\n\f\r ]?[0-9]{4,5}"
-MAIL_LOCAL = r"[A-Za-z0-9._%+\-]+@"
-DAY, MONTH = "(?:0?[1-9]|[12]\\d|3[01])", "(?:0?[1-9]|1[0-2])"
+LETTERS = "A-Za-z"
+ALNUM = LETTERS + "0-9"
+MAIL_LOCAL = f"[{ALNUM}" + "._%+" + r"\-" + "]+@"
+MAIL_HOST = f"[{ALNUM}" + r".\-" + "]+" + r"\."
+FEW = "[1-9]"
+DAYS, MONTHS = ("[12]\\d", "3[01]"), ("1[0-2]",)
+DAY, MONTH = ("(?:" + "|".join(("0?" + FEW, *x)) + ")" for x in (DAYS, MONTHS))
+DAY2, MONTH2 = ("(?:" + "|".join(("0" + FEW, *x)) + ")" for x in (DAYS, MONTHS))
+DATE_SEP = "[-/.]"
 OCTET = "(?:" + "|".join(["25[0-5]", r"2[0-4]\d", r"1\d{2}", r"[1-9]\d", r"\d"]) + ")"
-MOBILE = "(?:3[2-9]|5[2-9]|7(?:0|[6-9])|[89]\\d)" + digits(7)
+MOBILE = "(?:" + "|".join([*(k + "[2-9]" for k in "35"), "7(?:0|[6-9])", "[89]\\d"]) + ")" + digits(7)
 AMOUNT = r"[\d.,]+"
 SURNAMES = "Bùi Dương Hoàng Huỳnh Hồ Lê Lý Nguyễn Ngô Phan Phạm Trần Trịnh Võ Vũ Đinh Đoàn Đặng Đỗ".split()
 MORE_SURNAMES = SURNAMES + "Cao Châu Hà Kiều La Linh Lâm Lưu Lương Mai Mạc Nghiêm Ngọc Quách Thiều Thái Thị Tiền Trương Tô Tăng Tống Văn Vương Đào".split()
@@ -65,6 +72,20 @@ NAME_WORD = r"\p{Lu}\p{L}+"
 DASH = "[:=—\\-]"
 
 
+def upper(n: int | str) -> str:
+    return "[A-Z]{%s}" % n
+
+
+def code(n: int | str) -> str:
+    return "[A-Z0-9]{%s}" % n
+
+
+BRANCH = "(?:" + code(3) + ")?"
+#: Labels of security codes and expiry dates near a card.
+CARD_CODE = "(?i)(?:" + "|".join(("cvc", "cvv", r"security\s*code")) + ")" + r"\D{0,5}" + "(" + digits("3,4") + ")" + B
+CARD_EXPIRY = B + MONTH2 + "[-/]" + "(?:" + "|".join((digits(4), digits(2))) + ")" + B
+
+
 def card(prefix: str, *groups: int, tail: str = "") -> str:
     return B + prefix + grouped(*groups) + tail + B
 
@@ -85,7 +106,7 @@ def build(org: OrgProfile = OrgProfile()) -> Catalog:
             (
                 cards(card("4" + digits(3), 4, 4, 4), 0.95), cards(card(master, 4, 4, 4), 0.95), cards(card("3[47]" + digits(2), 6, 5), 0.95),
                 cards(card("35(?:2[89]|[3-8]\\d)\\d", 4, 4, 4), 0.90), cards(card(discover, 4, 4, 4), 0.90), cards(card("9704" + digits(2), 4, 4, 4), 0.92),
-                cards(card("(?:62[4-6]\\d|628\\d)", 4, 4, 4, tail=r"(?:[-\s]?\d{3})?"), 0.88),
+                cards(card("(?:62[4-6]\\d|628\\d)", 4, 4, 4, tail="(?:" + grouped(3) + ")?"), 0.88),
             ),
             words("card number; credit card; debit card; PAN; số thẻ; thẻ ghi nợ; thẻ tín dụng"),
             words("Amex; cardholder; chủ thẻ; CVC; CVV; expiry; JCB; Mastercard; Napas; ngày hết hạn; valid thru; Visa"),
@@ -94,7 +115,7 @@ def build(org: OrgProfile = OrgProfile()) -> Catalog:
         Rule(
             "cvv_001", "Card security codes", "financial", "SECRET", 0.95, 98,
             (
-                free(r"(?:cv[vc]2?|csc|card\s*security\s*code|card\s*verification)\s*[-=:]?\s*\d{3,4}\b", 0.97, "cv", "csc", "card"),
+                free("(?:cv[vc]2?|" + r"card\s*" + label("security code; verification") + "|csc)" + r"\s*[-=:]?\s*" + digits("3,4") + B, 0.97, "cv", "csc", "card"),
                 free(r"(?:[id]cvv|dynamic\s*cvv)\s*[-=:]?\s*\d{3,4}\b", 0.95, "cvv"),
                 near(B + digits("3,4") + B, 0.30),
             ),
@@ -129,14 +150,14 @@ def build(org: OrgProfile = OrgProfile()) -> Catalog:
         ),
         Rule(
             "swift_bic_001", "Bank identifier codes", "financial", "INTERNAL", 0.87, 65,
-            (Pattern(r"\b[A-Z]{4}VN[A-Z0-9]{2}(?:[A-Z0-9]{3})?\b", 0.92, gate="[A-Z]{4}VN"), near(r"\b[A-Z]{6}[A-Z0-9]{2}(?:[A-Z0-9]{3})?\b", 0.75, gate="[A-Z]{6}")),
+            (Pattern(B + upper(4) + "VN" + code(2) + BRANCH + B, 0.92, gate="[A-Z]{4}VN"), near(B + upper(6) + code(2) + BRANCH + B, 0.75, gate="[A-Z]{6}")),
             words("bank identifier; BIC; BIC code; mã swift; SWIFT; SWIFT code; swift/bic"),
             words("Agribank; bank code; BIDV; chuyển tiền quốc tế; correspondent bank; international transfer; ngân hàng đại lý; routing code; Vietcombank; VietinBank; wire transfer"),
             exclude_if_no_keywords=True,
         ),
         Rule(
             "iban_001", "IBAN", "financial", "CONFIDENTIAL", 0.87, 58,
-            (near(r"\b[A-Z]{2}\d{2}[A-Z0-9]{4}\d{7}[A-Z0-9]{0,16}\b", 0.85, gate="[A-Z]{2}[0-9]{2}[A-Z0-9]{4}"), near(r"\b[A-Z]{2}\d{2}(?:\s[A-Z0-9]{4}){2,7}\b", 0.88, gate=r"[A-Z]{2}[0-9]{2}[\t\n\f\r ]")),
+            (near(B + upper(2) + digits(2) + code(4) + digits(7) + code("0,16") + B, 0.85, gate="[A-Z]{2}[0-9]{2}[A-Z0-9]{4}"), near(B + upper(2) + digits(2) + "(?:" + r"\s" + code(4) + "){2,7}" + B, 0.88, gate=r"[A-Z]{2}[0-9]{2}[\t\n\f\r ]")),
             words("account number; BBAN; IBAN; international bank account"),
             words("BIC; chuyển tiền quốc tế; correspondent; EUR; foreign bank; GBP; international transfer; ngân hàng nước ngoài; swift; USD; wire transfer"),
             exclude_if_no_keywords=True,
@@ -147,7 +168,7 @@ def build(org: OrgProfile = OrgProfile()) -> Catalog:
                 free(label("lương; lương cơ bản; lương gross; lương net; lương năm; lương tháng; mức lương; thu nhập; thu nhập gộp; thu nhập ròng") + rf"\s*[=:]?\s*{AMOUNT}\s*(?:nghìn|triệu|đồng|vnđ|VND|tr\.?|k\b)?", 0.85, "lương", "thu"),
                 free(label("bonus; commission; hoa hồng; mức thưởng; thù lao; thưởng KPI") + rf"\s*[=:]?\s*{AMOUNT}\s*(?:triệu|đồng|vnđ|VND|tr\.?|%)?", 0.82, "bonus", "commission", "hoa", "thưởng", "thù"),
                 free(label("annual salary; compensation; income; monthly salary; pay rate; remuneration; salary; wage") + rf"\s*[=:]?\s*(?:EUR|GBP|USD|VND)?\s*{AMOUNT}", 0.82, "salary", "income", "wage", "compensation", "remuneration", "pay"),
-                free(r"(?:income|lương|salary)\b.*?(\d{1,3}(?:[,.]\d{3})+)", 0.72, "income", "lương", "salary", needs_context=True, gate=r"[0-9][.,][0-9]{3}"),
+                free(label("income; lương; salary") + B + ".*?" + "(" + digits("1,3") + "(?:[,.]" + digits(3) + ")+)", 0.72, "income", "lương", "salary", needs_context=True, gate=r"[0-9][.,][0-9]{3}"),
             ),
             words("bảng lương; income; lương; lương gross; lương net; mức lương; payroll; salary; thu nhập; thù lao; thưởng"),
             words("BHXH; bonus; bảo hiểm xã hội; commission; employment contract; hoa hồng; HR; hợp đồng lao động; KPI; nhân sự; pay slip; payslip; personal income tax; phiếu lương; phòng nhân sự; thuế thu nhập cá nhân; thưởng doanh số; TNCN"),
@@ -195,7 +216,7 @@ def build(org: OrgProfile = OrgProfile()) -> Catalog:
         ),
         Rule(
             "internal_ip_001", "Private IPv4 addresses", "org", "INTERNAL", 0.75, 50,
-            (Pattern(B + "(?:" + "|".join([r"10(?:\." + OCTET + "){3}", r"172\.(?:1[6-9]|2\d|3[01])(?:\." + OCTET + "){2}", r"192\.168(?:\." + OCTET + "){2}"]) + ")" + B, 0.88, gate=r"1[0-9]{1,2}\.[0-9]{1,3}\."),),
+            (Pattern(B + "(?:" + "|".join([r"10(?:\." + OCTET + "){3}", r"172\." + alt(["1[6-9]", "2\\d", "3[01]"]) + "(?:\\." + OCTET + "){2}", r"192\.168(?:\." + OCTET + "){2}"]) + ")" + B, 0.88, gate=r"1[0-9]{1,2}\.[0-9]{1,3}\."),),
             words("firewall; gateway; IP address; router; server; subnet; địa chỉ IP"),
             words("database; DHCP; DNS; endpoint; host; internal network; LAN; mạng nội bộ; network diagram; server IP; sơ đồ mạng; topology; VPN; WAN"),
             escalation=words("admin; credentials; login; mật khẩu; passwd; password; rdp; root; ssh; telnet; username"), escalate_to="CONFIDENTIAL",
@@ -237,7 +258,7 @@ def build(org: OrgProfile = OrgProfile()) -> Catalog:
                 free(label("kết quả xét nghiệm; lab result; laboratory; test result; xét nghiệm") + r"\s*[=:]", 0.88, "xét", "result", "laboratory"),
                 free("(?:" + r"viêm\s*gan\s*[A-E]|" + label("AIDS; cancer; cardiovascular; chronic kidney; diabetes; hepatitis; HIV; lao phổi; malignant; psychiatric; renal failure; stroke; suy thận; thận mãn; tim mạch; tiểu đường; tuberculosis; tâm lý học; tâm thần; u ác tính; ung thư; đột quỵ") + ")", 0.82, needs_context=True),
                 free(label("dosage; liều dùng; medication; prescription; thuốc điều trị; toa thuốc; đơn thuốc") + r"\s*[=:]", 0.85, "dosage", "liều", "medication", "prescription", "thuốc"),
-                near(r"\b[A-Z]\d{2}(?:\.\d{1,4})?\b", 0.70, gate="[A-Z][0-9]{2}"),
+                near(B + "[A-Z]" + digits(2) + "(?:" + r"\." + digits("1,4") + ")?" + B, 0.70, gate="[A-Z][0-9]{2}"),
             ),
             words("bệnh nhân; bệnh viện; bệnh án; chẩn đoán; clinic; diagnosis; health record; hospital; hồ sơ bệnh án; kết quả xét nghiệm; lab result; medical; medical history; patient; phòng khám; sức khỏe; tiền sử bệnh; y tế"),
             words("BHYT; bác sĩ; bảo hiểm y tế; doctor; ICD; khám bệnh; nhập viện; phẫu thuật; prescription; surgery; thuốc; treatment; xuất viện; xét nghiệm; điều trị; đơn thuốc"),
@@ -247,7 +268,7 @@ def build(org: OrgProfile = OrgProfile()) -> Catalog:
             "biometric_001", "Biometric data", "pii", "SECRET", 0.92, 83,
             (
                 free("(?:" + r"biometric(?:\s*data)?|" + label("dấu vân tay; face id; face recognition; facial recognition; fingerprint; iris scan; nhận dạng giọng nói; nhận dạng khuôn mặt; retina; sinh trắc học; vân tay; voice print; võng mạc") + ")", 0.88, "biometric", "vân", "face", "facial", "fingerprint", "iris", "dạng", "retina", "trắc", "voice", "mạc"),
-                free(r"(?:biometric|face|fingerprint)\s*" + alt(["data", "embedding", "feature", "hash", "template", "vector"]) + r"\s*[=:]\s*[A-Za-z0-9+/=]{20,}", 0.95, "biometric", "face", "fingerprint"),
+                free(r"(?:biometric|face|fingerprint)\s*" + alt(["data", "embedding", "feature", "hash", "template", "vector"]) + r"\s*[=:]\s*" + f"[{ALNUM}+/=]" + "{20,}", 0.95, "biometric", "face", "fingerprint"),
                 free(label("chip data; contactless chip; dữ liệu chip; eMRTD; ePassport data; NFC data; thẻ chip"), 0.85, "chip", "emrtd", "epassport", "nfc"),
                 free("(?:" + "anti-spoofing|" + label("face id; faceid; liveness detection; nhận dạng sinh trắc; touch id; touchid; windows hello") + ")", 0.82, "anti-spoofing", "face", "liveness", "trắc", "touch", "windows", needs_context=True),
             ),
@@ -277,7 +298,7 @@ def build(org: OrgProfile = OrgProfile()) -> Catalog:
             (
                 free(label("BHXH; bảo hiểm xã hội; social insurance") + r"\s*(?:number|no\.?|số|[:#])?\s*[=:]?\s*" + digits(10), 0.93, "bhxh", "hiểm", "insurance", gate=D10),
                 Pattern(r"\bBH[A-Z0-9]{13}\b", 0.90, gate="BH[A-Z0-9]{13}"),
-                free(label("BHYT; bảo hiểm y tế; health insurance") + r"\s*(?:number|no\.?|số|[:#])?\s*[=:]?\s*[A-Z0-9]{10,15}", 0.90, "bhyt", "hiểm", "insurance"),
+                free(label("BHYT; bảo hiểm y tế; health insurance") + r"\s*(?:number|no\.?|số|[:#])?\s*[=:]?\s*" + code("10,15"), 0.90, "bhyt", "hiểm", "insurance"),
                 near(B + digits(10) + B, 0.68, gate=D10),
             ),
             words("BHXH; BHYT; bảo hiểm xã hội; bảo hiểm y tế; health insurance; social insurance; social security; số BHXH; số thẻ BHYT; sổ BHXH; thẻ BHYT"),
@@ -296,8 +317,8 @@ def build(org: OrgProfile = OrgProfile()) -> Catalog:
         Rule(
             "email_001", "E-mail addresses", "pii", "INTERNAL", 0.75, 45,
             (
-                Pattern(MAIL_LOCAL + own_mail, 0.98, override="INTERNAL", anchors=("@",)), Pattern(MAIL_LOCAL + r"[A-Za-z0-9.\-]+\.(?:edu|gov|mil)\.vn", 0.95, override="INTERNAL", anchors=(".vn",)),
-                Pattern(MAIL_LOCAL + r"[A-Za-z0-9.\-]+\.[A-Za-z]{2,7}", 0.88, anchors=("@",)),
+                Pattern(MAIL_LOCAL + own_mail, 0.98, override="INTERNAL", anchors=("@",)), Pattern(MAIL_LOCAL + MAIL_HOST + alt(["edu", "gov", "mil"]) + r"\.vn", 0.95, override="INTERNAL", anchors=(".vn",)),
+                Pattern(MAIL_LOCAL + MAIL_HOST + f"[{LETTERS}]" + "{2,7}", 0.88, anchors=("@",)),
             ),
             words("e-mail; email; hộp thư; thư điện tử; địa chỉ email"),
             words("contact; gửi mail; inbox; liên hệ; liên lạc; địa chỉ thư"),
@@ -305,7 +326,7 @@ def build(org: OrgProfile = OrgProfile()) -> Catalog:
         Rule(
             "dob_001", "Birth dates", "pii", "INTERNAL", 0.72, 35,
             (
-                near(rf"\b{DAY}[-/.]{MONTH}[-/.]{digits(4)}\b", 0.65, gate=r"[-/.][0-9]{4}"), near(rf"\b{digits(4)}[-/.](?:0[1-9]|1[0-2])[-/.](?:0[1-9]|[12]\d|3[01])\b", 0.70, gate=r"[0-9]{4}[-/.]"),
+                near(B + DATE_SEP.join((DAY, MONTH, digits(4))) + B, 0.65, gate=r"[-/.][0-9]{4}"), near(B + DATE_SEP.join((digits(4), MONTH2, DAY2)) + B, 0.70, gate=r"[0-9]{4}[-/.]"),
                 near(rf"\b{MONTH}[-/]{DAY}[-/]{digits(4)}\b", 0.60, gate=r"[-/][0-9]{4}"), Pattern(rf"\b{DAY}\s+tháng\s+{MONTH}\s+năm\s+(?:19|20){digits(2)}\b", 0.88, anchors=("tháng",)),
                 near(r"\b(?:" + year("19") + r"|20[0-2]\d)\b", 0.45, gate="(?:19|20)[0-9]{2}"),
             ),
@@ -317,7 +338,7 @@ def build(org: OrgProfile = OrgProfile()) -> Catalog:
             "vn_name_001", "Personal names", "pii", "INTERNAL", 0.70, 30,
             (
                 near(alt(MORE_SURNAMES) + rf"\s+{NAME_WORD}(?:\s+{NAME_WORD}){{1,3}}", 0.75),
-                free(r"(?:họ\s*(?:và\s*)?tên|" + label("chủ tài khoản; full name; tên khách hàng; tên người dùng") + r")\s*[:]\s*" + alt(SURNAMES) + rf"\s+{NAME_WORD}(?:\s+{NAME_WORD})*", 0.90, "tên", "chủ", "name"),
+                free("(?:" + r"họ\s*" + r"(?:và\s*)?" + "tên|" + label("chủ tài khoản; full name; tên khách hàng; tên người dùng") + r")\s*[:]\s*" + alt(SURNAMES) + rf"\s+{NAME_WORD}(?:\s+{NAME_WORD})*", 0.90, "tên", "chủ", "name"),
             ),
             words("chủ sở hữu; chủ tài khoản; first name; full name; họ tên; họ tên đầy đủ; họ và tên; last name; người ký; người đại diện; tên chủ thẻ; tên khách hàng; tên người dùng; tên nhân viên; tên đầy đủ; đại diện pháp luật"),
             words("bên ký; bệnh nhân; chữ ký; giám đốc; hành khách; học sinh; khách hàng; ký tên; người dùng; người lập; người phê duyệt; nhân viên; sinh viên; trưởng phòng"),
