@@ -23,7 +23,7 @@ HEAVY_LEAST = 20_000
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Keep the folder that the cluster names in spark.checkpoint.dir; set one only where none is named."""
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        named = spark.conf.get("spark.checkpoint.dir", None)
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="sparksift-checkpoint-"))
 
 
