@@ -4,14 +4,18 @@ Each text gives counts (words, their characters, symbols, repeated lines, words
 in repeated 5-word windows). A base rule fails texts that are too short or repeat
 too much. The others become vectors of four transformed statistics, and every
 language and source gets a minimum-covariance-determinant estimate of their
-location and scatter: from medians and quartile ranges on, C_STEPS concentration
-steps keep the CORE share of rows nearest to the last estimate and take their
-mean and covariance. Rows beyond CUTOFF in squared Mahalanobis distance are
-rejected. Groups of fewer than LEAST_ROWS rows use the estimate of their
+location and scatter: from nine starts (medians and quartile ranges; the rows on
+either side of each statistic's median), concentration steps keep the CORE share
+of rows nearest to the last estimate and take their mean and covariance, until
+the determinant stops falling. The start of least determinant is kept, and its
+estimate made anew from all rows that it finds near (WEIGHTED). Junk of less
+than half a group's rows is thus outside the core. Rows beyond CUTOFF in squared
+Mahalanobis distance are rejected. Groups of fewer than LEAST_ROWS rows use the estimate of their
 language, then that of all rows.
 
-Everything that is shuffled is a partial aggregate or a slim row; estimates of
-hot groups are broadcast (fewer than HEAVY_PARTS), the others are joined.
+Everything that is shuffled is a partial aggregate or a slim row; up to
+BROADCAST_ROWS estimates are broadcast, of more only those of hot groups (fewer
+than HEAVY_PARTS), and the others are joined.
 
 Cases: null text has no words and fails the base rule; null languages and
 sources are groups of their own; rows are judged one by one, repeated or not; an
@@ -22,16 +26,20 @@ names. Repeated windows are compared by a 64-bit hash within one text.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WS, WS_CHARS, cut, hot_join, text_of
+from .common import BROADCAST_ROWS, WS, WS_CHARS, cut, hot_join, text_of
 
 WINDOW = 5
 DIMS = 4
-CORE = 0.75
-C_STEPS = 3
+CORE = 0.5
+#: A start's steps end when the logarithm of the determinant falls by no more than this.
+LEAST_FALL = 1e-3
+#: The share of normal rows that the last, reweighted estimate is made of.
+WEIGHTED = 0.975
 LEAST_ROWS = 200
 #: Of vectors that follow the estimated normal law, fewer than one in a million lie beyond it.
 CUTOFF = 35.0
@@ -79,17 +87,23 @@ def vector(mean_length: float) -> list[Column]:
     return [((F.col("word_chars") + SHRINK * mean_length) / n).alias("x0"), rate("n_symbols").alias("x1"), rate("n_dup_lines").alias("x2"), rate("n_repeat_words").alias("x3")]
 
 
-def consistency(core: float, dims: int) -> float:
-    """What makes the covariance of the nearest `core` share of normal rows that of all; dims is even."""
+def _cdf(x: float, dof: int) -> float:
+    """Of the chi-squared law; dof is even."""
+    return 1 - math.exp(-x / 2) * sum((x / 2) ** j / math.factorial(j) for j in range(dof // 2))
 
-    def cdf(x: float, dof: int) -> float:
-        return 1 - math.exp(-x / 2) * sum((x / 2) ** j / math.factorial(j) for j in range(dof // 2))
 
+def quantile(share: float, dims: int) -> float:
+    """The squared distance within which `share` of normal rows lie."""
     lo, hi = 0.0, 200.0
     for _ in range(100):
         mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if cdf(mid, dims) < core else (lo, mid)
-    return core / cdf(lo, dims + 2)
+        lo, hi = (mid, hi) if _cdf(mid, dims) < share else (lo, mid)
+    return lo
+
+
+def consistency(core: float, dims: int) -> float:
+    """What makes the covariance of the nearest `core` share of normal rows that of all; dims is even."""
+    return core / _cdf(quantile(core, dims), dims + 2)
 
 
 def _cholesky(cov: dict[tuple[int, int], Column]) -> list[Column]:
@@ -125,24 +139,67 @@ def distance(prefix: str = "") -> Column:
 KEYS = ["level", "lang", "source"]
 
 
+def _moments(rows: DataFrame) -> DataFrame:
+    """Location and covariance of the rows of each key and start."""
+    return rows.groupBy(*KEYS, "start").agg(F.first("n").alias("n"), *[F.avg(x).alias(f"m{i}") for i, x in enumerate(X)], *[F.covar_pop(X[i], X[j]).alias(f"c{i}{j}") for i in range(DIMS) for j in range(i + 1)])
+
+
+def _starts(rows: DataFrame) -> tuple[DataFrame, int]:
+    """Per key and start: n, location and factor to begin with; and the sum of n over the keys.
+
+    Start 0 is made of medians and quartile ranges. Each statistic gives two more:
+    the rows up to its median, and those from its median on.
+    """
+    q = rows.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(x, [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i, x in enumerate(X)])
+    q = cut(q.where((F.col("n") >= LEAST_ROWS) | (F.col("level") == 0)))
+    total = q.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    first = q.select(*KEYS, F.lit(0).alias("start"), "n", *[F.col(f"q{i}")[1].alias(f"m{i}") for i in range(DIMS)], *[(F.pow((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, 2) if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i in range(DIMS) for j in range(i + 1)])
+    medians = q.select(*KEYS, "n", *[F.col(f"q{i}")[1].alias(f"m{i}") for i in range(DIMS)])
+    sides = [F.when(c, F.lit(1 + 2 * i + k)) for i, x in enumerate(X) for k, c in enumerate((F.col(x) <= F.col(f"m{i}"), F.col(x) >= F.col(f"m{i}")))]
+    halves = hot_join(rows, medians, KEYS, "n", total).select(*KEYS, "n", *X, F.explode(F.array_compact(F.array(*sides))).alias("start"))
+    return cut(_with_factor(first.unionByName(_moments(halves)), 1.0)), total
+
+
+def _same_start(prefix: str) -> Column:
+    return reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(prefix + k)) for k in [*KEYS, "start"]])
+
+
+def _each(rows: DataFrame, params: DataFrame, total: int, few: bool) -> DataFrame:
+    """rows with the estimates of their key: few are all broadcast, else those of hot keys."""
+    return hot_join(rows, F.broadcast(params), KEYS, "n", 0) if few else hot_join(rows, cut(params), KEYS, "n", total)
+
+
+def _c_step(rows: DataFrame, params: DataFrame, total: int, few: bool) -> DataFrame:
+    """The estimates by the CORE share of rows nearest to params, and `det`, the logarithm of the scatter's determinant."""
+    near = _each(rows, params, total, few).select(*[F.col(k).alias(f"near_{k}") for k in [*KEYS, "start"]], distance().alias("d"))
+    limit = near.groupBy(*[f"near_{k}" for k in [*KEYS, "start"]]).agg(F.percentile_approx("d", CORE, 10000).alias("limit"))
+    bound = params.join(limit, _same_start("near_")).select(*KEYS, "start", "n", *M, *L, "limit")
+    core = _moments(_each(rows, bound, total, few).where(distance() <= F.col("limit")))
+    return _with_factor(core, consistency(CORE, DIMS)).withColumn("det", 2 * sum((F.log(f"l{i}{i}") for i in range(1, DIMS)), F.log("l00")))
+
+
+def _least(rows: DataFrame, params: DataFrame, total: int, few: bool) -> DataFrame:
+    """Per key, the estimate of least determinant among the starts, each stepped until its determinant stops falling."""
+    ended, falling = [], cut(_c_step(rows, params, total, few))
+    while not falling.isEmpty():
+        step = _c_step(rows, falling, total, few).select(*KEYS, "start", F.struct("n", *M, *L, "det").alias("new"))
+        old = falling.select(*[F.col(k).alias(f"old_{k}") for k in [*KEYS, "start"]], F.struct("n", *M, *L, "det").alias("old"))
+        both = cut(step.join(old, _same_start("old_")).select(*KEYS, "start", "old", "new"))
+        fell = F.col("new.det") < F.col("old.det") - LEAST_FALL
+        ended.append(both.where(~fell).select(*KEYS, "start", "old.*"))
+        falling = both.where(fell).select(*KEYS, "start", "new.*")
+    done = reduce(DataFrame.unionByName, ended) if ended else falling
+    return cut(done.withColumn("rank", F.row_number().over(Window.partitionBy(*KEYS).orderBy("det", "start"))).where("rank = 1").drop("rank", "det"))
+
+
 def estimates(vectors: DataFrame) -> DataFrame:
     """vectors(lang, source, x0..) -> per (level, lang, source): n, location m0.., factor of the scatter l00.. ."""
     levels = F.explode(F.array(F.struct(F.lit(0).alias("level"), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("source")), F.struct(F.lit(1).alias("level"), F.col("lang").cast("string").alias("lang"), F.lit(None).cast("string").alias("source")), F.struct(F.lit(2).alias("level"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"))))
-    rows = vectors.select(levels.alias("k"), *X).select("k.*", *X)
-    start = rows.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(x, [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i, x in enumerate(X)])
-    start = start.where((F.col("n") >= LEAST_ROWS) | (F.col("level") == 0))
-    start = start.select(*KEYS, "n", *[F.col(f"q{i}")[1].alias(f"m{i}") for i in range(DIMS)], *[(F.pow((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, 2) if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i in range(DIMS) for j in range(i + 1)])
-    params = cut(_with_factor(start, 1.0))
-    total = params.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    for _ in range(C_STEPS):
-        near = hot_join(rows, params, KEYS, "n", total).select(*KEYS, distance().alias("d"))
-        limit = near.groupBy(*KEYS).agg(F.percentile_approx("d", CORE, 1000).alias("limit"))
-        on = [params[k].eqNullSafe(limit[k]) for k in KEYS]
-        bound = cut(params.join(limit, on[0] & on[1] & on[2]).select(*[params[k] for k in KEYS], "n", *M, *L, "limit"))
-        core = hot_join(rows, bound, KEYS, "n", total).where(distance() <= F.col("limit"))
-        core = core.groupBy(*KEYS).agg(F.first("n").alias("n"), *[F.avg(x).alias(f"m{i}") for i, x in enumerate(X)], *[F.covar_pop(X[i], X[j]).alias(f"c{i}{j}") for i in range(DIMS) for j in range(i + 1)])
-        params = cut(_with_factor(core, consistency(CORE, DIMS)))
-    return params
+    rows = cut(vectors.select("lang", "source", *X)).select(levels.alias("k"), *X).select("k.*", *X)
+    start, total = _starts(rows)
+    few = start.count() <= BROADCAST_ROWS
+    inner = _each(rows, _least(rows, start, total, few), total, few).where(distance() <= quantile(WEIGHTED, DIMS))
+    return cut(_with_factor(_moments(inner), consistency(WEIGHTED, DIMS)).drop("start"))
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least_words: int = 10, most_repeated: int = 20) -> DataFrame:

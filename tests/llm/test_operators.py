@@ -305,6 +305,24 @@ def test_outliers_are_found(spark):
     assert all(got[i] for i in range(900)) and not any(got[10_000 + i] for i in range(40))
 
 
+def test_junk_of_nearly_half_a_source_is_found(spark):
+    """Spam of 30, 40 or 45 % of a source's rows is outside its core; clean rows stay."""
+    rng = random.Random(6)
+    rows = []
+    for s, share in enumerate((0.30, 0.40, 0.45)):
+        for i in range(500):
+            n = rng.randint(30, 120)
+            junk = i < 500 * share
+            text = " ".join(w + "#" * rng.randint(0, 3) for w in words_of(rng, n).split()) if junk else words_of(rng, n)
+            rows.append((s * 1000 + i, text, "en", f"s{s}", junk))
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, junk boolean")
+    got = {r["doc_id"]: r for r in quality.quality(d).collect()}
+    for s in range(3):
+        mine = [(got[r[0]]["kept"], r[4]) for r in rows if r[3] == f"s{s}" and not got[r[0]]["base_failed"]]
+        assert sum(j for _, j in mine) / len(mine) > (0.28, 0.38, 0.43)[s]
+        assert np.mean([k for k, j in mine if j]) < 0.05 and np.mean([k for k, j in mine if not j]) > 0.98
+
+
 def test_estimates_agree_with_numpy(spark):
     x = np.random.default_rng(1).multivariate_normal([1, 2, 3, 4], np.eye(4) + 0.3, 4000)
     d = spark.createDataFrame([("a", "b", *map(float, r)) for r in x], "lang string, source string, x0 double, x1 double, x2 double, x3 double")
