@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,11 +69,13 @@ def mismatches(pairs: DataFrame, key: str) -> DataFrame:
     return pairs.where("expected != predicted").select(key, "expected", "predicted", kind.alias("kind"))
 
 
-def report(pairs: DataFrame, key: str) -> str:
-    """Markdown of the small results."""
+def report(pairs: DataFrame, key: str) -> Iterator[str]:
+    """Lines of Markdown: the measures, and every wrong row, streamed from the executors a partition at a time."""
     b, m = binary_metrics(pairs).first(), macro_metrics(pairs).first()
     lines = ["# Evaluation", "", f"- accuracy: {b['accuracy']:.4f}", f"- binary precision, recall, f1: {b['precision']:.4f}, {b['recall']:.4f}, {b['f1']:.4f}", f"- macro precision, recall, f1: {m['precision']:.4f}, {m['recall']:.4f}, {m['f1']:.4f}", "", "| class | support | precision | recall | f1 |", "|-|-|-|-|-|"]
     order = {c: i for i, c in enumerate(CLASSES)}
-    lines += [f"| {r['class']} | {r['support']} | {r['precision']:.4f} | {r['recall']:.4f} | {r['f1']:.4f} |" for r in sorted(class_metrics(pairs).collect(), key=lambda r: order[r["class"]])]
-    wrong = mismatches(pairs, key).orderBy("kind", key).limit(1000).collect()
-    return "\n".join([*lines, "", "| row | kind | expected | predicted |", "|-|-|-|-|", *[f"| {r[key]} | {r['kind']} | {r['expected']} | {r['predicted']} |" for r in wrong], ""])
+    yield from lines
+    yield from (f"| {r['class']} | {r['support']} | {r['precision']:.4f} | {r['recall']:.4f} | {r['f1']:.4f} |" for r in sorted(class_metrics(pairs).collect(), key=lambda r: order[r["class"]]))
+    yield from ("", "| row | kind | expected | predicted |", "|-|-|-|-|")
+    for r in mismatches(pairs, key).orderBy("kind", key).toLocalIterator():
+        yield f"| {r[key]} | {r['kind']} | {r['expected']} | {r['predicted']} |"

@@ -24,7 +24,7 @@ def spark():
 
 
 @pytest.fixture(scope="session")
-def duck():
+def duck_tables():
     import duckdb
 
     con = duckdb.connect()
@@ -33,6 +33,13 @@ def duck():
     return con
 
 
+@pytest.fixture
+def duck(duck_tables):
+    """A cursor of its own for each test: what one leaves unread doesn't hold up the next."""
+    with duck_tables.cursor() as cursor:
+        yield cursor
+
+
 def canonical(v):
     if isinstance(v, float):
         return "nan" if math.isnan(v) else f"{v:.6g}"

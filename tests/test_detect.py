@@ -131,7 +131,7 @@ def test_built_in_expressions_agree_with_re2(spark, duck):
     d = docs(spark, *texts)
     for n, _, _, p in DEFAULT.patterns():
         ours = [list(r[0]) for r in d.orderBy("doc_id").select(F.regexp_extract_all("text", F.lit(to_java(p.regex)), F.lit(0))).collect()]
-        theirs = [duck.execute("SELECT regexp_extract_all(?, ?)", [t, p.regex]).fetchone()[0] for t in texts]
+        theirs = [duck.execute("SELECT regexp_extract_all(?, ?)", [t, p.regex]).fetchall()[0][0] for t in texts]
         assert ours == theirs, p.regex
 
 

@@ -96,7 +96,7 @@ def test_evaluation_report(spark):
     pairs = spark.createDataFrame([(1, "PUBLIC", "PUBLIC"), (2, "SECRET", "PUBLIC"), (3, "PUBLIC", "INTERNAL"), (4, "SECRET", "SECRET")], "k int, expected string, predicted string")
     b = evaluate.binary_metrics(pairs).first()
     assert (b["tp"], b["fp"], b["fn"], b["accuracy"]) == (1, 1, 1, 0.5)
-    text = evaluate.report(pairs, "k")
+    text = "\n".join(evaluate.report(pairs, "k"))
     assert "| 2 | false-negative | SECRET | PUBLIC |" in text and "| CONFIDENTIAL | 0 |" in text
     assert evaluate.matched(pairs.select("k", "expected"), pairs.where("k = 1").select("k", "predicted"), "k").where("predicted = 'PUBLIC'").count() == 4
 
