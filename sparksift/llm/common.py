@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,12 +23,20 @@ HEAVY_LEAST = 20_000
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the folder that the cluster names in spark.checkpoint.dir; set one only where none is named."""
+    """Keep the folder that the cluster names in spark.checkpoint.dir. Only a single-process session without one gets a folder of this machine."""
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="sparksift-checkpoint-"))
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows of df from a reliable checkpoint, which outlives executors."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -9,13 +9,20 @@ register with the probability of their weighted Jaccard similarity. Points are
 made in the order of time up to a limit at which all registers are full, so that
 most shingles of a long text cost one comparison.
 
-Texts of equal words are one node from the start. Registers are banded; in each
-bucket of a band every node is compared with the bucket's first node, and links
-are pairs whose exact multiset overlap reaches the threshold. After these links
-are joined to components, only pairs of one bucket that lie in different
-components can still matter; they are compared as well (all members outside of
-the bucket's largest component against all members), so that no link between
-components is lost, without all pairs of a group. Nothing is capped.
+Texts of equal words are one node from the start. Registers are banded, and links
+are pairs of nodes whose exact multiset overlap reaches the threshold:
+1. Every node that shares a bucket is compared with one node, the least of the
+   first nodes of its buckets. These links join most of a group of copies.
+2. Where a bucket still holds several components, links between those can be
+   missing. Its nodes' shingles are put in one order, rarest first. Two texts of
+   the least overlap share a shingle among the first of each, as many as their
+   sizes allow, at places that leave room for that overlap; only such pairs of
+   different components are compared. Copies of one template whose own parts
+   differ by more than the threshold thus give no pairs at all, and a shingle of
+   a large component pairs its nodes with others alone.
+Every link between components that share a bucket is found by 2, and nothing is
+capped. To compare, the text of a first node meets those of its partners, which
+are spread over groups of GROUP_ROWS.
 
 Cases: null text counts as empty; texts without words are equal; fewer than five
 words make one shingle; null ids sort last; rows that repeat an id are rows of
@@ -39,6 +46,8 @@ from .components import components
 from .words import sequence_hashes, shingle_hashes, word_hashes
 
 BANDS, ROWS = 24, 4
+#: Partners of one node that are compared in one task, about.
+GROUP_ROWS = 5_000
 _G = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -132,20 +141,6 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, bands: int = BANDS,
     return base.select("id", "th", "txt").mapInArrow(tidy(run), schema)
 
 
-def _bags(texts: DataFrame) -> DataFrame:
-    """texts(nid, txt) -> (nid, bag): the sorted shingle hashes as bytes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            data, offsets = arrow_bytes(b.column("txt"))
-            for i, j, h, at in word_hashes(data, offsets):
-                g, start = shingle_hashes(h, at)
-                out = [np.sort(g[s:e]).tobytes() for s, e in zip(start[:-1], start[1:])]
-                yield pa.RecordBatch.from_arrays([b.column("nid").slice(i, j - i), pa.array(out, pa.binary())], names=["nid", "bag"])
-
-    return texts.select("nid", "txt").mapInArrow(tidy(run), "nid long, bag binary")
-
-
 def overlap(a: np.ndarray, b: np.ndarray) -> float:
     """Weighted Jaccard similarity of two sorted arrays of hashes."""
     if not len(a) or not len(b):
@@ -159,56 +154,115 @@ def overlap(a: np.ndarray, b: np.ndarray) -> float:
     return common / (len(both) - common)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose texts' exact overlap reaches the threshold."""
-    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("nid")).distinct().join(nodes.select("nid", "id", "th"), "nid"))
-    many = wanted.count()
+def _texts_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, repeats: bool) -> DataFrame:
+    """wanted(nid, ..) with the nodes' texts."""
+    slim = cut(wanted.join(nodes.select("nid", "id", "th"), "nid"))
     base = docs.select(F.col(id_col).alias("d_id"), text_of(text_col).alias("txt")).withColumn("d_th", F.xxhash64("txt"))
-    side = F.broadcast(wanted) if many <= BROADCAST_ROWS else wanted.hint("shuffle_hash")
-    texts = base.join(side, F.col("d_id").eqNullSafe(F.col("id")) & (F.col("d_th") == F.col("th"))).select("nid", "txt")
-    bags = _bags(texts).groupBy("nid").agg(F.first("bag").alias("bag"))  # an id may be repeated
-    bags = cut(bags)
-    both = pairs.join(bags.select(F.col("nid").alias("a"), F.col("bag").alias("bag_a")), "a").join(bags.select(F.col("nid").alias("b"), F.col("bag").alias("bag_b")), "b")
+    if repeats:
+        base = base.dropDuplicates(["d_id", "d_th"])
+    side = F.broadcast(slim) if slim.count() <= BROADCAST_ROWS else slim
+    return base.join(side, F.col("d_id").eqNullSafe(F.col("id")) & (F.col("d_th") == F.col("th"))).select(*wanted.columns, "txt")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, threshold: float, repeats: bool) -> DataFrame:
+    """The pairs (a, b) whose texts' exact overlap reaches the threshold. The text of a is sent once to each group of its partners."""
+    groups = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / GROUP_ROWS).cast("long").alias("parts"))
+    heads = groups.select("a", F.explode(F.sequence(F.lit(0), (F.col("parts") - 1).cast("int"))).alias("part"), F.col("a").alias("nid"), F.lit(0).alias("role"))
+    parts = F.broadcast(groups.where("parts > 1"))  # fewer than pairs / GROUP_ROWS
+    members = pairs.join(parts, "a", "left").select("a", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"), F.col("b").alias("nid"), F.lit(1).alias("role"))
+    texts = _texts_of(heads.unionByName(members), nodes, docs, id_col, text_col, repeats)
+    ordered = texts.repartition("a", "part").sortWithinPartitions("a", "part", "role")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = [overlap(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) >= threshold for x, y in zip(b.column("bag_a"), b.column("bag_b"))]
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        key, first = None, None
+        for batch in batches:
+            data, offsets = arrow_bytes(batch.column("txt"))
+            a, part, role, nid = (batch.column(c).to_pylist() for c in ("a", "part", "role", "nid"))
+            found = []
+            for i, j, h, at in word_hashes(data, offsets):
+                g, start = shingle_hashes(h, at)
+                for k in range(i, j):
+                    bag_ = np.sort(g[start[k - i] : start[k - i + 1]])
+                    if role[k] == 0:
+                        key, first = (a[k], part[k]), bag_
+                    elif key == (a[k], part[k]) and overlap(first, bag_) >= threshold:
+                        found.append((a[k], nid[k]))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
+
+    return ordered.select("a", "part", "role", "nid", "txt").mapInArrow(tidy(run), "a long, b long")
+
+
+def shingle_sets(texts: DataFrame) -> DataFrame:
+    """texts(nid, comp, txt) -> (nid, comp, n, items): the multiset as a set, of hashes of each shingle and the number of its occurrence."""
 
-    return both.select("a", "b", "bag_a", "bag_b").mapInArrow(tidy(run), "a long, b long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, offsets = arrow_bytes(b.column("txt"))
+            for i, j, h, at in word_hashes(data, offsets):
+                g, start = shingle_hashes(h, at)
+                items, counts, _ = bag(g, start)
+                first = np.repeat(np.cumsum(counts) - counts, counts)
+                each = mix64(np.repeat(items, counts) + (np.arange(len(g)) - first).astype(np.uint64) * _G)
+                lists = pa.ListArray.from_arrays(pa.array(start.astype(np.int32)), pa.array(each.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([b.column("nid").slice(i, j - i), b.column("comp").slice(i, j - i), pa.array(np.diff(start)), lists], names=["nid", "comp", "n", "items"])
+
+    return texts.select("nid", "comp", "txt").mapInArrow(tidy(run), "nid long, comp long, n long, items array<long>")
+
+
+def across(sets: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of sets(nid, comp, n, items) of different components that can reach the threshold.
+
+    Items are ordered by the number of sets that hold them, then by hash; one that
+    no other set has needs no place but counts as earlier. Of a pair, the smaller
+    set's item is among its first n - 2t/(1+t)n and the other's among its first
+    n - tn; at their first common item, both have enough items left.
+    """
+    t = threshold
+    each = sets.select("nid", F.explode("items").alias("item"))
+    common = cut(each.groupBy("item").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
+    total = common.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
+    held = hot_join(each, common, ["item"], "df", total).groupBy("nid").agg(F.sort_array(F.collect_list(F.struct("df", "item"))).alias("o"))
+    room = F.floor(F.col("n") * (1 - t) + 1e-6) + 1 - (F.col("n") - F.size("o"))  # places below n - tn that the common items fill
+    first = F.slice("o", 1, F.greatest(room, F.lit(0)).cast("int"))
+    spots = sets.select("nid", "comp", "n").join(held, "nid").select("nid", "comp", "n", (F.col("n") - F.size("o")).alias("alone"), F.posexplode(first).alias("k", "x"))
+    spots = cut(spots.select("nid", "comp", "n", F.col("x.item").alias("item"), (F.col("n") - F.col("alone") - F.col("k")).alias("left")))
+    n_spots = spots.count()
+    by = spots.groupBy("item", "comp").agg(F.count(F.lit(1)).alias("m"))
+    by = cut(by.groupBy("item").agg(F.max(F.struct("m", "comp")).alias("x"), F.count(F.lit(1)).alias("comps"), F.sum("m").alias("m")).where("comps > 1").select("item", "m", F.col("x.comp").alias("main")))
+    rows = cut(hot_join(spots, by, ["item"], "m", n_spots).select("item", "nid", "comp", "n", "left", (F.col("comp") != F.col("main")).alias("out")))
+    small = rows.where((1 + t) * F.col("left") >= 2 * t * F.col("n") - 1e-6).select("item", *[F.col(c).alias(f"{c}_a") for c in ("nid", "comp", "n", "left", "out")])
+    need = t * (F.col("n_a") + F.col("n")) - 1e-6
+    fits = (F.col("comp_a") != F.col("comp")) & (F.col("n_a") <= F.col("n")) & (F.col("n_a") >= t * F.col("n") - 1e-6) & ((1 + t) * F.col("left_a") >= need) & ((1 + t) * F.col("left") >= need)
+    pairs = small.where("out_a").join(rows, "item").where(fits).unionByName(small.where("not out_a").join(rows.where("out"), "item").where(fits))
+    return pairs.select(F.least("nid_a", "nid").alias("a"), F.greatest("nid_a", "nid").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per document: id, class_id (least id of its class), class_size, kept, th."""
     each = cut(signatures(docs, id_col, text_col, bands, rows).withColumn("rid", F.monotonically_increasing_id()))
     total = each.count()
+    repeats = not each.groupBy("id", "th").count().where("count > 1").isEmpty()
     first = F.min(F.struct(F.isnull("id").alias("no_id"), "id", "th", "rid")).alias("first")
     nodes = each.groupBy("fp1", "fp2").agg(F.count(F.lit(1)).alias("copies"), first, F.first("n").alias("n"), F.first("bands").alias("bands"))
     nodes = cut(nodes.select("fp1", "fp2", "copies", "n", "bands", F.col("first.id").alias("id"), F.col("first.th").alias("th")).withColumn("nid", F.monotonically_increasing_id()))
     buckets = nodes.select("nid", "n", F.explode("bands").alias("h"))
-    entries = nodes.count() * bands
     fits = lambda x, y: F.least(x, y) >= threshold * F.greatest(x, y)
 
     heads = cut(buckets.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("nid", "n")).alias("head")).where("m > 1"))
-    star = hot_join(buckets, heads, ["h"], "m", entries).where((F.col("nid") != F.col("head.nid")) & fits(F.col("n"), F.col("head.n")))
-    star = cut(star.select(F.col("head.nid").alias("a"), F.col("nid").alias("b")).distinct())
-    links = cut(verified(star, docs, nodes, id_col, text_col, threshold))
+    n_heads, entries = heads.agg(F.count(F.lit(1)), F.coalesce(F.sum("m"), F.lit(0))).first()
+    shared = cut(buckets.join(F.broadcast(heads), "h") if n_heads <= BROADCAST_ROWS else hot_join(buckets, heads, ["h"], "m", entries))
+    star = shared.where((F.col("nid") != F.col("head.nid")) & fits(F.col("n"), F.col("head.n")))
+    star = cut(star.groupBy(F.col("nid").alias("b")).agg(F.min("head.nid").alias("a")))
+    links = cut(verified(star, docs, nodes, id_col, text_col, threshold, repeats))
     comps = components(links)
 
-    # Pairs of one bucket in different components.
-    shared = hot_join(buckets, heads.select("h", "m"), ["h"], "m", entries)
-    labelled = shared.join(comps, shared["nid"] == comps["node"], "left").select("h", "nid", "n", F.coalesce("comp", "nid").alias("comp"))
-    labelled = cut(labelled)
-    mixed = labelled.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("h")
-    mixed = cut(labelled.join(mixed, "h", "left_semi"))
+    # Buckets of several components, and links between those.
+    labelled = cut(shared.join(comps, shared["nid"] == comps["node"], "left").select("h", "nid", F.coalesce("comp", "nid").alias("comp")))
+    mixed = labelled.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("h", "m")
+    mixed = cut(hot_join(labelled, mixed, ["h"], "m", entries).select("nid", "comp").distinct())
     if not mixed.isEmpty():
-        main = mixed.groupBy("h", "comp").count().groupBy("h").agg(F.max(F.struct("count", "comp")).alias("x")).select("h", F.col("x.comp").alias("main"))
-        outside = mixed.join(main, "h").where("comp != main").select("h", F.col("nid").alias("nid1"), F.col("n").alias("n1"), F.col("comp").alias("comp1"))
-        more = outside.join(mixed, "h").where((F.col("comp1") != F.col("comp")) & fits(F.col("n1"), F.col("n")))
-        more = more.select(F.least("nid1", "nid").alias("a"), F.greatest("nid1", "nid").alias("b")).distinct()
-        done = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        more = cut(more.join(done, ["a", "b"], "left_anti"))
-        extra = cut(verified(more, docs, nodes, id_col, text_col, threshold))
+        sets = cut(shingle_sets(_texts_of(mixed, nodes, docs, id_col, text_col, repeats)))
+        extra = cut(verified(cut(across(sets, threshold)), docs, nodes, id_col, text_col, threshold, repeats))
         if not extra.isEmpty():
             links = links.unionByName(extra)
             comps = components(links)

@@ -394,6 +394,48 @@ def test_chains_and_shared_buckets(spark):
     assert sorted(map(sorted, by.values())) == brute_classes(rows)
 
 
+@pytest.mark.parametrize("group", [5_000, 7])
+def test_template_gives_no_pairs(spark, monkeypatch, group):
+    """Pages of one template that differ by more than the threshold share buckets, but few pairs are compared; copies among them are found."""
+    monkeypatch.setattr(minhash, "GROUP_ROWS", group)
+    rng = random.Random(12)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(240)]
+    rows = [(k, " ".join(base + [f"p{k}_{i}" for i in range(45)])) for k in range(200)]
+    for k in range(30):  # near copies of pages, some of one another
+        words = rows[k % 12][1].split()
+        words[260 + k % 5] = f"c{k}"
+        rows.append((1000 + k, " ".join(words)))
+    seen = []
+    real = minhash.verified
+    monkeypatch.setattr(minhash, "verified", lambda pairs, *x: (seen.append(pairs.count()), real(pairs, *x))[1])
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    by = defaultdict(list)
+    for r in got:
+        by[r["class_id"]].append(str(r["doc_id"]))
+    assert sorted(map(sorted, by.values())) == brute_classes(rows)
+    assert sum(seen) < 2 * len(rows)
+
+
+def test_across_finds_every_pair(spark):
+    """Against all pairs, over random multisets of many sizes with shared parts."""
+    rng = np.random.default_rng(7)
+    parts = [rng.integers(0, 2**40, 40) for _ in range(12)]
+    sets = []
+    for k in range(150):
+        x = np.unique(np.concatenate([*(parts[i] for i in rng.choice(12, 3, replace=False)), rng.integers(0, 2**40, rng.integers(0, 60))]))
+        sets.append((k, int(rng.integers(0, 80)), [int(v) for v in rng.permutation(x)]))
+        if k % 3 == 0:
+            sets.append((1000 + k, 500 + k, [int(v) for v in rng.permutation(x)[: int(len(x) * 0.9)]]))
+    d = spark.createDataFrame([(i, c, len(x), x) for i, c, x in sets], "nid long, comp long, n long, items array<long>")
+    got = {(r["a"], r["b"]) for r in minhash.across(d.repartition(3), 0.8).collect()}
+    want = set()
+    for i, c, x in sets:
+        for j, e, y in sets:
+            if i < j and c != e and len(set(x) & set(y)) >= 0.8 * len(set(x) | set(y)):
+                want.add((i, j))
+    assert want and want <= got and len(got) < len(sets) * 8
+
+
 def test_signatures_are_unbiased():
     """The share of equal registers estimates the weighted Jaccard similarity, weights beyond one included."""
     rng = np.random.default_rng(3)
