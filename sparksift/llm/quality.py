@@ -4,10 +4,10 @@ Each text gives counts (words, their characters, symbols, repeated lines, words
 in repeated 5-word windows). A base rule fails texts that are too short or repeat
 too much. The others become vectors of four transformed statistics, and every
 language and source gets a minimum-covariance-determinant estimate of their
-location and scatter: from nine starts (medians and quartile ranges; the rows on
-either side of each statistic's median), concentration steps keep the CORE share
-of rows nearest to the last estimate and take their mean and covariance, until
-the determinant stops falling. The start of least determinant is kept, and its
+location and scatter: from six starts (medians and quartile ranges; the rows on
+one side of a statistic's median), concentration steps keep the CORE share of
+rows nearest to the last estimate and take their mean and covariance, until the
+determinant stops falling. The start of least determinant is kept, and its
 estimate made anew from all rows that it finds near (WEIGHTED). Junk of less
 than half a group's rows is thus outside the core. Rows beyond CUTOFF in squared
 Mahalanobis distance are rejected. Groups of fewer than LEAST_ROWS rows use the estimate of their
@@ -28,7 +28,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, WS, WS_CHARS, cut, hot_join, text_of
@@ -106,100 +106,101 @@ def consistency(core: float, dims: int) -> float:
     return core / _cdf(quantile(core, dims), dims + 2)
 
 
-def _cholesky(cov: dict[tuple[int, int], Column]) -> list[Column]:
-    """The lower factor as columns l00, l10, l11, ...; expressions refer to earlier columns by name."""
-    out = []
-    for i in range(DIMS):
-        for j in range(i + 1):
-            rest = cov[i, j]
-            for k in range(j):
-                rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-            out.append((f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(1e-9))) if i == j else rest / F.col(f"l{j}{j}")))
-    return out
+PAIRS = [(i, j) for i in range(DIMS) for j in range(i + 1)]
+SHAPE = ["n", *M, *L]
+MOMENTS = ", ".join(["first(n) AS n", *(f"avg(x{i}) AS m{i}" for i in range(DIMS)), *(f"covar_pop(x{i}, x{j}) AS c{i}{j}" for i, j in PAIRS)])
 
 
-def _with_factor(params: DataFrame, scale: float) -> DataFrame:
-    cov = {(i, j): F.col(f"c{i}{j}") * scale + (FLOORS[i] ** 2 if i == j else 0.0) for i in range(DIMS) for j in range(i + 1)}
-    for name, c in _cholesky(cov):
-        params = params.withColumn(name, c)
-    return params.drop(*[f"c{i}{j}" for i in range(DIMS) for j in range(i + 1)])
+def _factor(scale: float) -> str:
+    """SQL: the lower Cholesky factor of scale * c plus the floors. Its columns refer to those before."""
+    out = []
+    for i, j in PAIRS:
+        rest = "".join([f"{scale!r}D * c{i}{j}", f" + {FLOORS[i] ** 2!r}D" * (i == j), *(f" - l{i}{k} * l{j}{k}" for k in range(j))])
+        out.append(f"sqrt(greatest({rest}, 1e-9D)) AS l{i}{j}" if i == j else f"({rest}) / l{j}{j} AS l{i}{j}")
+    return ", ".join(out)
 
 
-def distance(prefix: str = "") -> Column:
-    """Squared Mahalanobis distance of x from the estimate."""
-    z: list[Column] = []
-    for i in range(DIMS):
-        rest = F.col(f"x{i}") - F.col(f"m{i}")
-        for k in range(i):
-            rest = rest - F.col(f"l{i}{k}") * z[k]
-        z.append(rest / F.col(f"l{i}{i}"))
-    return sum((c * c for c in z[1:]), z[0] * z[0])
+def _distance() -> str:
+    """SQL: squared Mahalanobis distance d of x from the estimate, by forward substitution."""
+    z = [f"(x{i} - m{i}" + "".join(f" - l{i}{k} * z{k}" for k in range(i)) + f") / l{i}{i} AS z{i}" for i in range(DIMS)]
+    return ", ".join(z) + ", " + " + ".join(f"z{i} * z{i}" for i in range(DIMS)) + " AS d"
 
 
-KEYS = ["level", "lang", "source"]
+def _estimate(df: DataFrame, scale: float, where: str = "true") -> DataFrame:
+    """gid, start, n, m0.., l00.., det (logarithm of the scatter's determinant) of the rows (gid, start, n, x0..) of each key."""
+    det = " + ".join(f"2 * ln(l{i}{i})" for i in range(DIMS))
+    return df.sparkSession.sql(f"SELECT gid, start, n, {', '.join(M)}, {_factor(scale)}, {det} AS det FROM (SELECT gid, start, {MOMENTS} FROM {{df}} WHERE {where} GROUP BY gid, start)", df=df)
 
 
-def _moments(rows: DataFrame) -> DataFrame:
-    """Location and covariance of the rows of each key and start."""
-    return rows.groupBy(*KEYS, "start").agg(F.first("n").alias("n"), *[F.avg(x).alias(f"m{i}") for i, x in enumerate(X)], *[F.covar_pop(X[i], X[j]).alias(f"c{i}{j}") for i in range(DIMS) for j in range(i + 1)])
+def _near(rows: DataFrame, params: DataFrame, total: int, few: bool) -> DataFrame:
+    """rows(gid, x0..) with each start's estimate of their group, and d. Few estimates are all broadcast, else those of hot groups."""
+    both = rows.join(F.broadcast(params), "gid") if few else hot_join(rows, cut(params), ["gid"], "n", total)
+    extra = [c for c in params.columns if c not in ("gid", "start", "n", "det", *M, *L)]
+    return rows.sparkSession.sql(f"SELECT {', '.join(['gid', 'start', 'n', *X, *extra])}, {_distance()} FROM {{both}}", both=both)
 
 
-def _starts(rows: DataFrame) -> tuple[DataFrame, int]:
-    """Per key and start: n, location and factor to begin with; and the sum of n over the keys.
+def _starts(rows: DataFrame, groups: DataFrame, total: int, few: bool) -> DataFrame:
+    """Per group and start: n, location and factor to begin with.
 
-    Start 0 is made of medians and quartile ranges. Each statistic gives two more:
-    the rows up to its median, and those from its median on.
+    Start 0 is made of medians and quartile ranges. The others are the rows up to
+    the median of each statistic, and those from the first one's median on: junk
+    that raises a statistic is mostly outside of one of these halves.
     """
-    q = rows.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(x, [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i, x in enumerate(X)])
-    q = cut(q.where((F.col("n") >= LEAST_ROWS) | (F.col("level") == 0)))
-    total = q.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    first = q.select(*KEYS, F.lit(0).alias("start"), "n", *[F.col(f"q{i}")[1].alias(f"m{i}") for i in range(DIMS)], *[(F.pow((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, 2) if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i in range(DIMS) for j in range(i + 1)])
-    medians = q.select(*KEYS, "n", *[F.col(f"q{i}")[1].alias(f"m{i}") for i in range(DIMS)])
-    sides = [F.when(c, F.lit(1 + 2 * i + k)) for i, x in enumerate(X) for k, c in enumerate((F.col(x) <= F.col(f"m{i}"), F.col(x) >= F.col(f"m{i}")))]
-    halves = hot_join(rows, medians, KEYS, "n", total).select(*KEYS, "n", *X, F.explode(F.array_compact(F.array(*sides))).alias("start"))
-    return cut(_with_factor(first.unionByName(_moments(halves)), 1.0)), total
-
-
-def _same_start(prefix: str) -> Column:
-    return reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(prefix + k)) for k in [*KEYS, "start"]])
-
-
-def _each(rows: DataFrame, params: DataFrame, total: int, few: bool) -> DataFrame:
-    """rows with the estimates of their key: few are all broadcast, else those of hot keys."""
-    return hot_join(rows, F.broadcast(params), KEYS, "n", 0) if few else hot_join(rows, cut(params), KEYS, "n", total)
+    spark = rows.sparkSession
+    q = cut(spark.sql(f"SELECT gid, n, {', '.join(f'q{i}[1] AS m{i}, pow((q{i}[2] - q{i}[0]) / 1.349D, 2) AS s{i}' for i in range(DIMS))} FROM (SELECT gid, {', '.join(f'percentile_approx(x{i}, array(0.25D, 0.5D, 0.75D), 1000) AS q{i}' for i in range(DIMS))} FROM {{rows}} GROUP BY gid) JOIN {{groups}} USING (gid)", rows=rows, groups=groups))
+    cov = ", ".join(f"s{i} AS c{i}{j}" if i == j else f"0D AS c{i}{j}" for i, j in PAIRS)
+    first = spark.sql(f"SELECT gid, 0 AS start, n, {', '.join(M)}, {_factor(1.0)}, 0D AS det FROM (SELECT *, {cov} FROM {{q}})", q=q)
+    medians = q.select("gid", "n", *M)
+    both = rows.join(F.broadcast(medians), "gid") if few else hot_join(rows, medians, ["gid"], "n", total)
+    sides = ", ".join(f"CASE WHEN {c} THEN {k + 1} END" for k, c in enumerate([*(f"x{i} <= m{i}" for i in range(DIMS)), "x0 >= m0"]))
+    halves = spark.sql(f"SELECT gid, n, {', '.join(X)}, explode(array_compact(array({sides}))) AS start FROM {{both}}", both=both)
+    return cut(first.unionByName(_estimate(halves, 1.0)))
 
 
 def _c_step(rows: DataFrame, params: DataFrame, total: int, few: bool) -> DataFrame:
-    """The estimates by the CORE share of rows nearest to params, and `det`, the logarithm of the scatter's determinant."""
-    near = _each(rows, params, total, few).select(*[F.col(k).alias(f"near_{k}") for k in [*KEYS, "start"]], distance().alias("d"))
-    limit = near.groupBy(*[f"near_{k}" for k in [*KEYS, "start"]]).agg(F.percentile_approx("d", CORE, 10000).alias("limit"))
-    bound = params.join(limit, _same_start("near_")).select(*KEYS, "start", "n", *M, *L, "limit")
-    core = _moments(_each(rows, bound, total, few).where(distance() <= F.col("limit")))
-    return _with_factor(core, consistency(CORE, DIMS)).withColumn("det", 2 * sum((F.log(f"l{i}{i}") for i in range(1, DIMS)), F.log("l00")))
+    """The estimates by the CORE share of rows nearest to params."""
+    spark = rows.sparkSession
+    near = _near(rows, params, total, few)
+    limit = spark.sql(f"SELECT gid AS g, start AS s, percentile_approx(d, {CORE}D, 10000) AS lim FROM {{near}} GROUP BY gid, start", near=near)
+    if few:
+        core = near.join(F.broadcast(limit), F.expr("gid = g AND start = s"))
+    else:
+        core = _near(rows, params.join(limit, F.expr("gid = g AND start = s")).drop("g", "s"), total, few)
+    return _estimate(core, consistency(CORE, DIMS), "d <= lim")
 
 
 def _least(rows: DataFrame, params: DataFrame, total: int, few: bool) -> DataFrame:
-    """Per key, the estimate of least determinant among the starts, each stepped until its determinant stops falling."""
-    ended, falling = [], cut(_c_step(rows, params, total, few))
+    """Per group, the estimate of least determinant among the starts, each stepped until its determinant stops falling."""
+    spark, ended = rows.sparkSession, []
+    falling = cut(_c_step(rows, params, total, few))
     while not falling.isEmpty():
-        step = _c_step(rows, falling, total, few).select(*KEYS, "start", F.struct("n", *M, *L, "det").alias("new"))
-        old = falling.select(*[F.col(k).alias(f"old_{k}") for k in [*KEYS, "start"]], F.struct("n", *M, *L, "det").alias("old"))
-        both = cut(step.join(old, _same_start("old_")).select(*KEYS, "start", "old", "new"))
-        fell = F.col("new.det") < F.col("old.det") - LEAST_FALL
-        ended.append(both.where(~fell).select(*KEYS, "start", "old.*"))
-        falling = both.where(fell).select(*KEYS, "start", "new.*")
+        new = _c_step(rows, falling, total, few)
+        both = cut(spark.sql(f"SELECT s.*, s.det < o.old - {LEAST_FALL} AS falls FROM {{new}} s JOIN (SELECT gid, start, det AS old FROM {{falling}}) o USING (gid, start)", new=new, falling=falling))
+        ended.append(both.where("NOT falls").drop("falls"))
+        falling = both.where("falls").drop("falls")
     done = reduce(DataFrame.unionByName, ended) if ended else falling
-    return cut(done.withColumn("rank", F.row_number().over(Window.partitionBy(*KEYS).orderBy("det", "start"))).where("rank = 1").drop("rank", "det"))
+    return cut(spark.sql(f"SELECT gid, 0 AS start, x.* FROM (SELECT gid, min_by(struct({', '.join(SHAPE)}), struct(det, start)) AS x FROM {{done}} GROUP BY gid)", done=done))
 
 
 def estimates(vectors: DataFrame) -> DataFrame:
-    """vectors(lang, source, x0..) -> per (level, lang, source): n, location m0.., factor of the scatter l00.. ."""
-    levels = F.explode(F.array(F.struct(F.lit(0).alias("level"), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("source")), F.struct(F.lit(1).alias("level"), F.col("lang").cast("string").alias("lang"), F.lit(None).cast("string").alias("source")), F.struct(F.lit(2).alias("level"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"))))
-    rows = cut(vectors.select("lang", "source", *X)).select(levels.alias("k"), *X).select("k.*", *X)
-    start, total = _starts(rows)
-    few = start.count() <= BROADCAST_ROWS
-    inner = _each(rows, _least(rows, start, total, few), total, few).where(distance() <= quantile(WEIGHTED, DIMS))
-    return cut(_with_factor(_moments(inner), consistency(WEIGHTED, DIMS)).drop("start"))
+    """vectors(lang, source, x0..) -> per (lang, source): group_rows, level of the estimate it uses, n, location m0.., factor of the scatter l00.. ."""
+    spark = vectors.sparkSession
+    flat = cut(vectors.selectExpr("cast(lang AS string) AS lang", "cast(source AS string) AS source", *X))
+    sizes = cut(flat.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n2")))
+    # Which level serves a group: its own rows, else its language's, else all. Levels that serve nobody are left out.
+    by = cut(spark.sql(f"SELECT *, sum(n2) OVER (PARTITION BY lang) AS n1 FROM {{sizes}}", sizes=sizes).withColumn("level", F.expr(f"CASE WHEN n2 >= {LEAST_ROWS} THEN 2 WHEN n1 >= {LEAST_ROWS} THEN 1 ELSE 0 END")))
+    total = by.agg(F.coalesce(F.sum("n2"), F.lit(0))).first()[0]
+    keys = by.select("lang", "source", "n2", "level", F.expr("inline(array(struct(2 AS v, lang AS l, source AS s), struct(1 AS v, lang AS l, string(null) AS s), struct(0 AS v, string(null) AS l, string(null) AS s)))"))
+    ids = cut(keys.groupBy("v", "l", "s").agg(F.sum("n2").alias("n"), F.max(F.col("level") == F.col("v")).alias("used")).where("used").select("v", "l", "s", "n").withColumn("gid", F.monotonically_increasing_id()))
+    feeds = ids.select(F.col("v").alias("v_"), F.col("l").alias("l_"), F.col("s").alias("s_"), "gid")
+    fed = cut(keys.join(feeds, F.expr("v = v_ AND l <=> l_ AND s <=> s_")).groupBy("lang", "source").agg(F.first("n2").alias("group_rows"), F.first("level").alias("level"), F.collect_list("gid").alias("gids"), F.max(F.expr("CASE WHEN v = level THEN gid END")).alias("own")))
+    rows = cut(hot_join(flat, fed.select("lang", "source", "group_rows", "gids"), ["lang", "source"], "group_rows", total).select("gids", *X)).select(F.explode("gids").alias("gid"), *X)
+    groups = ids.select("gid", "n")
+    many, fed_rows = groups.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    few = many * 6 <= BROADCAST_ROWS
+    best = _least(rows, _starts(rows, groups, fed_rows, few), fed_rows, few)
+    last = _estimate(_near(rows, best, fed_rows, few), consistency(WEIGHTED, DIMS), f"d <= {quantile(WEIGHTED, DIMS)!r}D").drop("start", "det")
+    return cut(fed.select("lang", "source", "group_rows", "level", F.col("own").alias("gid")).join(last, "gid").drop("gid"))
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least_words: int = 10, most_repeated: int = 20) -> DataFrame:
@@ -208,16 +209,8 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     good = counts.where(~F.col("base_failed"))
     total, chars, words = good.agg(F.count(F.lit(1)), F.sum("word_chars"), F.sum("n_words")).first()
     mean_length = chars / words if words else 0.0
-    est = estimates(good.select("lang", "source", *vector(mean_length)))
-
-    groups = good.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("group_rows"))
-    shape = ["n", *M, *L]
-    at = lambda level: est.where(F.col("level") == level).select(F.col("lang").alias(f"lang{level}"), F.col("source").alias(f"source{level}"), F.struct(*shape).alias(f"e{level}"))
-    g = groups.join(at(2), F.col("lang").cast("string").eqNullSafe(F.col("lang2")) & F.col("source").cast("string").eqNullSafe(F.col("source2")), "left")
-    g = g.join(at(1), F.col("lang").cast("string").eqNullSafe(F.col("lang1")), "left").join(F.broadcast(at(0)), F.lit(True), "left")
-    own = lambda level: F.when(F.col(f"e{level}.n") >= LEAST_ROWS, F.col(f"e{level}"))
-    resolved = cut(g.select("lang", "source", "group_rows", F.coalesce(own(2), own(1), F.col("e0")).alias("e")).select("lang", "source", "group_rows", *[f"e.{c}" for c in shape[1:]]))
-    judged = hot_join(good, resolved, ["lang", "source"], "group_rows", total, "left").select(*counts.columns, *vector(mean_length), *M, *L)
-    judged = judged.withColumn("distance", distance()).select(*counts.columns, "distance").withColumn("kept", F.coalesce(F.col("distance") <= CUTOFF, F.lit(True)))
+    resolved = estimates(good.select("lang", "source", *vector(mean_length)))
+    judged = hot_join(good, resolved.withColumnsRenamed({"n": "__n"}), ["lang", "source"], "group_rows", total, "left").select(*counts.columns, *vector(mean_length), *M, *L)
+    judged = docs.sparkSession.sql(f"SELECT {', '.join(counts.columns)}, {_distance()} FROM {{judged}}", judged=judged).select(*counts.columns, F.col("d").alias("distance")).withColumn("kept", F.coalesce(F.col("distance") <= CUTOFF, F.lit(True)))
     failed = counts.where("base_failed").withColumn("distance", F.lit(None).cast("double")).withColumn("kept", F.lit(False))
     return judged.unionByName(failed).withColumnsRenamed({"id": id_col, "lang": lang_col, "source": source_col})

@@ -323,13 +323,54 @@ def test_junk_of_nearly_half_a_source_is_found(spark):
         assert np.mean([k for k, j in mine if j]) < 0.05 and np.mean([k for k, j in mine if not j]) > 0.98
 
 
-def test_estimates_agree_with_numpy(spark):
-    x = np.random.default_rng(1).multivariate_normal([1, 2, 3, 4], np.eye(4) + 0.3, 4000)
-    d = spark.createDataFrame([("a", "b", *map(float, r)) for r in x], "lang string, source string, x0 double, x1 double, x2 double, x3 double")
-    e = quality.estimates(d).where("level = 2").first()
-    assert [e[m] for m in quality.M] == pytest.approx(x.mean(axis=0).tolist(), abs=0.12)
+def brute_mcd(x, core=quality.CORE):
+    """FAST-MCD with numpy: 200 random starts of DIMS + 1 rows, steps until the determinant stops falling, the least, reweighted; with the operator's floors and factors."""
+    rng = np.random.default_rng(0)
+    floors = np.diag(np.square(quality.FLOORS))
+    h = math.ceil(core * len(x))
+    moments = lambda y, f: (y.mean(axis=0), np.cov(y.T, bias=True) * f + floors)
+    far = lambda m, c: np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+    best = None
+    for _ in range(200):
+        m, c = moments(x[rng.choice(len(x), quality.DIMS + 1, replace=False)], 1.0)
+        det = math.inf
+        while True:
+            m, c = moments(x[np.argsort(far(m, c))[:h]], quality.consistency(core, quality.DIMS))
+            new = np.linalg.slogdet(c)[1]
+            if new >= det - 1e-9:
+                break
+            det = new
+        if best is None or det < best[0]:
+            best = (det, m, c)
+    d = far(*best[1:])
+    m, c = moments(x[d <= quality.quantile(quality.WEIGHTED, quality.DIMS)], quality.consistency(quality.WEIGHTED, quality.DIMS))
+    return m, c, far(m, c)
+
+
+@pytest.mark.parametrize("share", [0.0, 0.2, 0.4])
+def test_verdicts_agree_with_brute_force(spark, share):
+    """300 rows of a group with contamination: location, scatter and verdicts of an exhaustive estimate."""
+    rng = np.random.default_rng(3)
+    x = rng.multivariate_normal([5, 1, 0.5, 0.2], np.eye(4) * 0.2 + 0.1, 300)
+    bad = np.arange(300) < 300 * share
+    x[bad] += rng.normal([2, 6, 0, 4], 1.0, (bad.sum(), 4))
+    rows = [("a", "b", *map(float, r)) for r in x]
+    e = quality.estimates(spark.createDataFrame(rows, "lang string, source string, x0 double, x1 double, x2 double, x3 double").repartition(3)).first()
     low_ = np.array([[e[f"l{i}{j}"] if j <= i else 0 for j in range(4)] for i in range(4)])
-    assert low_ @ low_.T == pytest.approx(np.cov(x.T) + np.diag(np.square(quality.FLOORS)), abs=0.35)
+    m, c, d = brute_mcd(x)
+    assert [e[k] for k in quality.M] == pytest.approx(m.tolist(), abs=0.05) and low_ @ low_.T == pytest.approx(c, abs=0.05)
+    z = np.linalg.solve(low_, (x - [e[k] for k in quality.M]).T)
+    ours = (z * z).sum(axis=0)
+    assert ((ours > quality.CUTOFF) == (d > quality.CUTOFF)).mean() > 0.99
+    assert (ours[bad] > quality.CUTOFF).mean() > 0.9 if share else (ours > quality.CUTOFF).sum() == 0
+
+
+def test_small_groups_use_their_language(spark):
+    """Fewer than LEAST_ROWS rows: the language's estimate, or that of all rows."""
+    rng = np.random.default_rng(5)
+    rows = [(lang, s, *map(float, rng.normal(k, 0.3, 4))) for lang, s, n, k in (("en", "big", 400, 1), ("en", "few", 20, 3), ("xx", None, 10, 2), (None, "big", 5, 2)) for _ in range(n)]
+    got = {(r["lang"], r["source"]): r for r in quality.estimates(spark.createDataFrame(rows, "lang string, source string, x0 double, x1 double, x2 double, x3 double")).collect()}
+    assert {k: (r["level"], r["n"], r["group_rows"]) for k, r in got.items()} == {("en", "big"): (2, 400, 400), ("en", "few"): (1, 420, 20), ("xx", None): (0, 435, 10), (None, "big"): (0, 435, 5)}
 
 
 # 7: near duplicates
