@@ -254,28 +254,55 @@ def test_line_dedup(corner, empty, monkeypatch, limit):
 # 5: url filters
 
 
+def judge(u, list_rules, pattern_rules):
+    """Every rule tried on the url."""
+    at = (u or "").find("://")
+    rest = u[at + 3 :] if at >= 0 else ""
+    host = low(re.match(r"[^/?#]*", rest).group())
+    path = re.match(r"[^/?#]*([^?#]*)", rest).group(1)
+    fits = [r for r in list_rules if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+    best = max(fits, key=lambda r: (len(r.text), r.text, r.verdict), default=None)
+    pattern = next((p for p in pattern_rules if re.search(p.regex, low(u or ""))), None) if best is None else None
+    return host, path, best.text if best else None, best.verdict if best else pattern.verdict if pattern else "allow", pattern.name if pattern else None
+
+
 def test_url_filter(spark):
-    urls = [None, "", "no scheme", "http://", "HTTP://WWW.Example.ORG/es/1?x#y", "http://notexample.org/es/", "http://org/", "http://a.com/fr/x", "http://a.com/de", "http://a.com/de/", "https://cheap-pills.example.net/a", "https://carefree-bets.example.net/", "http://x.net/casino/", "http://x.net/xcasino", "http://x.net/a.zip", "http://x.net?sessionid=" + "a" * 20, "éhttp://É.org/\nx", "http://x.net/casino/"]
+    urls = [None, "", "no scheme", "http://", "HTTP://WWW.Example.ORG/es/1?x#y", "http://notexample.org/es/", "http://org/", "http://a.com/fr/x", "http://a.com/de", "http://a.com/de/", "https://cheap-pills.example.net/a", "https://carefree-bets.example.net/", "http://x.net/casino/", "http://x.net/xcasino", "http://x.net/a.zip", "http://x.net?sessionid=" + "a" * 20, "éhttp://É.org/\nx", "http://x.net/casino/", "http://x.net/a/login?x", "http://x.net/login", "http://" + "a." * 40 + "net/" + "p/" * 20_000 + "login#"]
     d = spark.createDataFrame([(i if i else None, u, "c", 1) for i, u in enumerate(urls)], "page_id long, url string, host string, rank int")
     got = url_filter.url_filter(d).collect()
     assert len(got) == len(urls)
     for u in urls:
-        at = (u or "").find("://")
-        rest = u[at + 3 :] if at >= 0 else ""
-        host = low(re.match(r"[^/?#]*", rest).group())
-        path = re.match(r"[^/?#]*([^?#]*)", rest).group(1)
-        fits = [r for r in url_filter.LIST_RULES if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
-        best = max(fits, key=lambda r: len(r.text), default=None)
-        pattern = next((p for p in url_filter.PATTERN_RULES if re.search(p.regex, low(u or ""))), None) if best is None else None
-        want = (host, path, best.text if best else None, best.verdict if best else pattern.verdict if pattern else "allow", pattern.name if pattern else None)
-        assert want in {(r["host"], r["path"], r["rule"], r["verdict"], r["pattern"]) for r in got}, u
+        assert judge(u, url_filter.LIST_RULES, url_filter.PATTERN_RULES) in {(r["host"], r["path"], r["rule"], r["verdict"], r["pattern"]) for r in got}, u
     assert url_filter.url_filter(d.limit(0)).count() == 0
+    assert url_filter.url_filter(d, list_rules=(), pattern_rules=()).where("verdict = 'allow'").count() == len(urls)
+
+
+@pytest.mark.parametrize("limit", [200_000, 0])
+def test_thousands_of_url_rules(spark, monkeypatch, limit):
+    monkeypatch.setattr(url_filter, "BROADCAST_ROWS", limit)
+    rng = random.Random(11)
+    name = lambda k: f"h{k}"
+    lists = "# hosts\n" + "\n".join(f"{rng.choice(('allow', 'block'))} {rng.choice(('', 'www.', 'a.b.'))}{name(rng.randrange(900))}.example.net{rng.choice(('', '/', '/en/', '/en/1', f'/en/{k}', '/a/long/path/'))}" for k in range(3000))
+    patterns = "\n".join(f"p{k}\tblock\t{rng.choice(('[/.-]', ''))}t{rng.randrange(400)}{rng.choice(('[/.-]', '(?:x|y)?/', '[0-9]+', '$'))}" for k in range(2000))
+    list_rules, pattern_rules = url_filter.read_list(lists), url_filter.read_patterns(patterns)
+    urls = [f"http://{rng.choice(('', 'www.', 'a.b.', 'z.'))}{name(rng.randrange(1800))}.example.net/{rng.choice(('', 'en/', 'en/12', 'a/long/path/x', f't{rng.randrange(400)}', f't{rng.randrange(400)}/x'))}" for _ in range(300)]
+    indexed = tuple(p for p in pattern_rules if url_filter.literal_tokens(p.regex))
+    assert len(indexed) > 300
+    d = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    for r in url_filter.url_filter(d, list_rules=url_filter.list_table(spark, list_rules), pattern_rules=indexed).collect():
+        assert (r["host"], r["path"], r["rule"], r["verdict"], r["pattern"]) == judge(urls[r["page_id"]], list_rules, indexed)
 
 
 def test_rare_tokens():
-    assert url_filter.literal_tokens(r"[/.]cheap-pills\.") == ["cheap", "pills"]
-    assert url_filter.literal_tokens(r"x?free-bets") == []
-    assert all(url_filter.literal_tokens(r.regex) or r.name in ("login", "archive file") for r in url_filter.PATTERN_RULES)
+    t = url_filter.literal_tokens
+    assert t(r"[/.]cheap-pills\.") == [["cheap", "pills"]] and t(r"x?free-bets") == [] and t(r"\.(?:zip|exe)$") == [["exe"], ["zip"]]
+    assert t(r"/login[?#/]") == t(r"://[^/?#]*/(?:[^?#]*/)?login[?#/]") == [["login"]]
+    assert t(r"/a(?=b)") == t(r"/[a-z]/") == t(r"/x(?:y|)z*/") == t(r"(?:/a/|b)") == [] and t(r"/ab?c/") == [["abc"], ["ac"]] and t(r"/v+[.]a\b") == [["a"]]
+    assert all(t(r.regex) for r in url_filter.PATTERN_RULES)
+    with pytest.raises(ValueError):
+        url_filter.read_patterns("a\tmaybe\tx")
+    with pytest.raises(ValueError):
+        url_filter.read_list("permit a/b")
 
 
 # 6: quality
