@@ -10,9 +10,10 @@ Three kinds of evidence meet for each text:
   shares are sums of text posteriors in grouped aggregates over all rows; a
   row's own share is left out of its host's.
 
-Only fitting uses a sample: at most `fit_rows` labelled rows, those of the least
-hash of their id. A text is rejected when its best class is "und" or has less
-than `least` of the posterior.
+Only fitting uses a sample: of each labelled language at most `fit_rows` rows,
+those of the least hash of id and text. Every labelled language has a class. A
+text is rejected when its best class is "und" or has less than `least` of the
+posterior.
 
 Cases: null or empty text, or one of fewer than three bytes or without letters, is "und" and
 rejected; null hosts, suffixes and declarations are values like others; without
@@ -27,6 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,7 +37,6 @@ from .common import arrow_bytes, ascii_lower, cut, drop_rows, hot_join, spans, t
 BUCKETS = 1 << 16
 BLOCK_BYTES = 1 << 20
 UND = "und"
-MOST_LANGUAGES = 64
 #: Trigrams of a text depend on each other; their likelihood counts with this power.
 TEMPER = 0.3
 #: A level's shares weigh as much as so many rows at the level below.
@@ -65,28 +66,36 @@ def _crossing(o: np.ndarray, n: int) -> np.ndarray:
 
 def fit(docs: DataFrame, id_col: str, text_col: str, label_col: str, fit_rows: int) -> tuple[list[str], np.ndarray]:
     """Languages and the log likelihood (BUCKETS, languages + 1) of each trigram; the last column is that of "und"."""
-    labelled = docs.where(F.col(label_col).isNotNull()).select(F.xxhash64(id_col).alias("r"), F.col(label_col).cast("string").alias("lang"), text_of(text_col).alias("txt"))
-    ranks = labelled.select("r").orderBy("r").limit(fit_rows).agg(F.max("r")).first()[0]
-    if ranks is None:
-        return [], np.full((BUCKETS, 1), -np.log(BUCKETS), np.float32)
-    sample = labelled.where(F.col("r") <= ranks).limit(fit_rows).select("lang", "txt")
+    labelled = docs.where(F.col(label_col).isNotNull()).select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("r"), F.col(label_col).cast("string").alias("lang"), text_of(text_col).alias("txt"))
+    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
+    # A share of each language's rows, by hash, that holds about twice as many as needed; of those, exactly so many.
+    share = F.least(F.lit(1.0), 2.0 * (fit_rows + 50) / F.col("rows"))
+    some = labelled.join(F.broadcast(cut(sizes)), "lang").where(F.shiftrightunsigned("r", 11) < share * float(1 << 53))
+    rank = F.row_number().over(W.partitionBy("lang").orderBy("r"))
+    sample = some.withColumn("rank", rank).where(F.col("rank") <= fit_rows).select("lang", "txt")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for lang, c in sums.items():
+                at = np.flatnonzero(c)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(c[at])], names=["lang", "bucket", "n"])
+            sums.clear()
+
         for b in batches:
             d, o = arrow_bytes(b.column("txt"))
             for lang, s, e in zip(b.column("lang").to_pylist(), o[:-1].tolist(), o[1:].tolist()):
                 if e - s >= 3:
+                    if lang not in sums and len(sums) >= 32:
+                        yield from out()
                     sums.setdefault(lang, np.zeros(BUCKETS, np.int64))
                     sums[lang] += np.bincount(_buckets(d[s:e]), minlength=BUCKETS)
                     sums[lang][BLANK] = 0
-        for lang, c in sums.items():
-            at = np.flatnonzero(c)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at.astype(np.int32)), pa.array(c[at])], names=["lang", "bucket", "n"])
+        yield from out()
 
     got = sample.mapInArrow(tidy(count), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    by_lang = got.groupby("lang")["n"].sum().sort_values(ascending=False)
-    langs = sorted(by_lang.index[:MOST_LANGUAGES])
+    langs = sorted(got["lang"].unique())
     table = np.full((BUCKETS, len(langs)), 0.1)
     for i, lang in enumerate(langs):
         own = got[got["lang"] == lang]
@@ -101,22 +110,24 @@ def text_likelihoods(rows: DataFrame, langs: list[str], table: np.ndarray) -> Da
     keep = [c for c in rows.columns if c != "txt"]
     k = len(langs)
     flat = np.log(BUCKETS)
+    block = max(1 << 12, BLOCK_BYTES * 8 // (k + 8))  # of many languages, fewer bytes at a time
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offsets = arrow_bytes(b.column("txt"))
             sums = np.zeros((len(b), k + 1))
             counts = np.maximum(np.diff(offsets) - 2, 0)
-            for i, j in spans(offsets, BLOCK_BYTES):
-                for s in range(int(offsets[i]), int(offsets[j]), BLOCK_BYTES if j == i + 1 else 1 << 62):
-                    e = min(int(offsets[j]), s + BLOCK_BYTES + 2) if j == i + 1 else int(offsets[j])
+            for i, j in spans(offsets, block):
+                for s in range(int(offsets[i]), int(offsets[j]), block if j == i + 1 else 1 << 62):
+                    e = min(int(offsets[j]), s + block + 2) if j == i + 1 else int(offsets[j])
                     d = data[s:e]
                     if len(d) < 3:
                         continue
-                    g = table[_buckets(d)]
+                    g = np.zeros((len(d), k + 1), table.dtype)  # no trigram begins at the last two bytes
+                    np.take(table, _buckets(d), axis=0, out=g[:-2])
                     if j > i + 1:
                         o = offsets[i : j + 1] - s
-                        cross = _crossing(o, len(g))
+                        cross = _crossing(o, len(g) - 2)
                         g[cross] = 0
                         at = np.minimum(o[:-1], len(g) - 1)
                         add = np.add.reduceat(g, at, axis=0, dtype=np.float64)
@@ -132,53 +143,61 @@ def text_likelihoods(rows: DataFrame, langs: list[str], table: np.ndarray) -> Da
     return rows.select(*keep, "txt").mapInArrow(tidy(run), schema)
 
 
-def _softmax(logs: list[Column], name: str) -> Column:
-    top = F.greatest(*logs) if len(logs) > 1 else logs[0]
-    parts = F.array(*[F.exp(x - top) for x in logs])
-    return F.transform(parts, lambda x: x / F.aggregate(parts, F.lit(0.0), lambda a, b: a + b)).alias(name)
+def _softmax(rows: DataFrame, logs: Column, name: str) -> DataFrame:
+    """rows with the array `name` of the shares that the array `logs` of logarithms stands for."""
+    rest = rows.columns
+    rows = rows.select(*rest, logs.alias("__logs")).select(*rest, "__logs", F.array_max("__logs").alias("__top"))
+    rows = rows.select(*rest, F.transform("__logs", lambda x: F.exp(x - F.col("__top"))).alias("__parts"))
+    rows = rows.select(*rest, "__parts", F.aggregate("__parts", F.lit(0.0), lambda a, x: a + x).alias("__sum"))
+    return rows.select(*rest, F.transform("__parts", lambda x: x / F.col("__sum")).alias(name))
+
+
+def _numbers(xs) -> Column:
+    return F.expr(f"array({', '.join(f'{float(x)!r}D' for x in xs)})")
 
 
-def _shares(sums: list[Column], n: Column, above: list[Column]) -> list[Column]:
-    return [(s + STRENGTH * p) / (n + STRENGTH) for s, p in zip(sums, above)]
+def _shares(sums: Column, n: Column, above: Column) -> Column:
+    """A level's shares, smoothed by those above."""
+    return F.zip_with(sums, above, lambda s, p: (s + STRENGTH * p) / (n + STRENGTH))
 
 
 def identify(rows: DataFrame, langs: list[str], table: np.ndarray, least: float = 0.3) -> DataFrame:
     """rows(id, th, host, domain, suffix, declared, txt) -> id, th, host, lang, posterior, kept, text_lang."""
-    k = len(langs) + 1
-    names = [*langs, UND]
+    spark, k = rows.sparkSession, len(langs) + 1
+    names = F.array(*[F.lit(x) for x in [*langs, UND]])
     priors = [(1 - UND_PRIOR) / max(1, k - 1)] * (k - 1) + [UND_PRIOR]
     each = text_likelihoods(rows, langs, table)
-    q = _softmax([F.col("ll")[i] * TEMPER + float(np.log(p)) for i, p in enumerate(priors)], "q")
-    each = cut(each.select("id", "th", "host", "domain", "suffix", "declared", "n", "ll", q))
+    each = _softmax(each.select("id", "th", "host", "domain", "suffix", "declared", "n", "ll"), F.zip_with("ll", _numbers(np.log(priors)), lambda x, p: x * TEMPER + p), "q")
+    each = cut(each)
     total = each.count()
-    share = [F.sum(F.col("q")[i]).alias(f"s{i}") for i in range(k)]
     S = [f"s{i}" for i in range(k)]
+    sums = [F.sum(F.col("q")[i]).alias(s) for i, s in enumerate(S)]
+    again = [F.sum(s).alias(s) for s in S]
+    both = F.array(*S)
 
     # The declaration: which of the languages, another, or none.
     said = F.when(F.col("declared").isin(langs), F.col("declared")).when(F.col("declared").isNotNull(), F.lit("other")) if langs else F.lit(None).cast("string")
-    table_rows = each.groupBy(said.alias("d")).agg(*share).collect()
-    every = np.array([[r[c] for c in S] for r in table_rows]).sum(axis=0) if table_rows else np.ones(k)
-    world = [float(x) for x in (every + 1e-3) / (every + 1e-3).sum()]
-    marks = {r["d"]: [float(np.log((r[c] + 1) / (every[i] + len(table_rows)))) for i, c in enumerate(S)] for r in table_rows}
-    declared = [F.coalesce(*[F.when(said.eqNullSafe(F.lit(d).cast("string")), F.lit(v[i])) for d, v in marks.items()], F.lit(0.0)) for i in range(k)]
-
-    hosts = cut(each.groupBy("suffix", "domain", "host").agg(F.count(F.lit(1)).alias("rows"), *share))
-    domains = cut(hosts.groupBy("suffix", "domain").agg(F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("hosts"), *[F.sum(s).alias(s) for s in S]))
-    suffixes = domains.groupBy("suffix").agg(F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("domains"), *[F.sum(s).alias(s) for s in S])
-    suffixes = cut(suffixes.select("suffix", "domains", F.array(*_shares([F.col(s) for s in S], F.col("rows"), [F.lit(p) for p in world])).alias("up")))
+    found = each.groupBy(said.alias("d")).agg(*sums).collect()
+    every = np.array([[r[c] for c in S] for r in found]).sum(axis=0) if found else np.ones(k)
+    world = (every + 1e-3) / (every + 1e-3).sum()
+    marks = spark.createDataFrame([(r["d"], [float(np.log((r[c] + 1) / (every[i] + len(found)))) for i, c in enumerate(S)]) for r in found], "d string, mark array<double>")
+
+    hosts = cut(each.groupBy("suffix", "domain", "host").agg(F.count(F.lit(1)).alias("rows"), *sums))
+    domains = cut(hosts.groupBy("suffix", "domain").agg(F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("hosts"), *again))
+    suffixes = domains.groupBy("suffix").agg(F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("domains"), *again)
+    suffixes = cut(suffixes.select("suffix", "domains", _shares(both, F.col("rows"), _numbers(world)).alias("up")))
     n_hosts, n_domains = hosts.count(), domains.count()
-    above = lambda: [F.col("up")[i] for i in range(k)]
     domains = hot_join(domains, suffixes, ["suffix"], "domains", n_domains)
-    domains = cut(domains.select("suffix", "domain", "hosts", F.array(*_shares([F.col(s) for s in S], F.col("rows"), above())).alias("up")))
-    hosts = cut(hot_join(hosts, domains, ["suffix", "domain"], "hosts", n_hosts).drop("hosts"))
-
-    j = hot_join(each, hosts.withColumnRenamed("rows", "host_rows"), ["suffix", "domain", "host"], "host_rows", total)
-    prior = _shares([F.col(s) - F.col("q")[i] for i, s in enumerate(S)], F.col("host_rows") - 1, above())
-    logs = [F.col("ll")[i] * TEMPER + F.log(F.greatest(prior[i], F.lit(1e-6))) + declared[i] for i in range(k)]
-    j = j.select("id", "th", "host", "n", "q", _softmax(logs, "post"))
-    best = lambda c: F.element_at(F.array(*[F.lit(x) for x in names]), F.array_position(F.col(c), F.array_max(c)).cast("int"))
-    lang = F.when(F.col("n") == 0, F.lit(UND)).otherwise(best("post"))
-    out = j.select("id", "th", "host", lang.alias("lang"), F.round(F.array_max("post"), 6).alias("posterior"), F.when(F.col("n") == 0, F.lit(UND)).otherwise(best("q")).alias("text_lang"))
+    domains = cut(domains.select("suffix", "domain", "hosts", _shares(both, F.col("rows"), F.col("up")).alias("up")))
+    hosts = cut(hot_join(hosts, domains, ["suffix", "domain"], "hosts", n_hosts).select("suffix", "domain", "host", F.col("rows").alias("host_rows"), both.alias("sums"), "up"))
+
+    j = hot_join(each, hosts, ["suffix", "domain", "host"], "host_rows", total).withColumn("said", said)
+    j = j.join(F.broadcast(marks), F.col("said").eqNullSafe(F.col("d")))
+    prior = _shares(F.zip_with("sums", "q", lambda s, x: s - x), F.col("host_rows") - 1, F.col("up"))
+    logs = F.zip_with(F.zip_with("ll", prior, lambda x, p: x * TEMPER + F.log(F.greatest(p, F.lit(1e-6)))), "mark", lambda x, m: x + m)
+    j = _softmax(j.select("id", "th", "host", "n", "q", logs.alias("logs")), F.col("logs"), "post")
+    best = lambda c: F.when(F.col("n") == 0, F.lit(UND)).otherwise(F.element_at(names, F.array_position(F.col(c), F.array_max(c)).cast("int")))
+    out = j.select("id", "th", "host", best("post").alias("lang"), F.round(F.array_max("post"), 6).alias("posterior"), best("q").alias("text_lang"))
     return out.withColumn("kept", (F.col("lang") != UND) & (F.col("posterior") >= least))
 
 
@@ -201,7 +220,7 @@ def pages_rows(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     return base.select("id", F.xxhash64("txt").alias("th"), "host", F.array_join(F.slice(parts, F.greatest(F.size(parts) - 1, F.lit(1)), 2), ".").alias("domain"), F.element_at(parts, -1).alias("suffix"), "declared", "txt")
 
 
-def identify_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", source_col: str = "source", fit_rows: int = 4000, least: float = 0.3) -> DataFrame:
+def identify_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", source_col: str = "source", fit_rows: int = 1000, least: float = 0.3) -> DataFrame:
     """One row per document: id, th, source, lang, posterior, text_lang, kept."""
     langs, table = fit(docs, id_col, text_col, label_col, fit_rows)
     return identify(documents_rows(docs, id_col, text_col, source_col), langs, table, least).withColumnsRenamed({"id": id_col, "host": source_col})

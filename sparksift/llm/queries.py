@@ -42,7 +42,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same operator over raw pages, with all its kinds of evidence; the text models are those of the documents."""
-    langs, table = language_id.fit(_table(spark, sf_dir, "documents"), "doc_id", "text", "lang", 4000)
+    langs, table = language_id.fit(_table(spark, sf_dir, "documents"), "doc_id", "text", "lang", 1000)
     return language_id.identify(language_id.pages_rows(_table(spark, sf_dir, "pages")), langs, table).drop("th").withColumnRenamed("id", "page_id")
 
 

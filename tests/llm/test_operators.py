@@ -118,7 +118,6 @@ def check_packing(got, texts, capacity=1024):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(packing.default_vocabulary()[0])
-    tok.encode_special_tokens = True
     by = defaultdict(list)
     for r in got:
         by[r["doc_id"]].append(r)
@@ -167,14 +166,30 @@ def test_crossover_keeps_every_item():
     assert len(packing.evolve(sizes, 1024, [], 3, 10)[0].items) <= len(a.items)
 
 
+def test_genetic_packing_beats_best_fit(spark):
+    """Triplets that fill a sequence exactly: best-fit-decreasing needs 2 % more than the bound at least; crossover finds a better packing, also as islands with migration."""
+    rng = random.Random(0)
+    sizes = []
+    for _ in range(100):
+        a = rng.randint(390, 500)
+        b = min(rng.randint(256, 1024 - 256 - a + 2), 1024 - a - 1)
+        sizes += [a, b, 1024 - a - b]
+    ordered = sorted(sizes, reverse=True)
+    fit = len(packing.packed(range(300), ordered, 1024).items)
+    assert fit > 1.02 * 100 and len(packing.evolve(ordered, 1024, [], 1, 60)[0].items) < fit
+    docs = spark.createDataFrame([(i, "a" + " a" * (n - 2)) for i, n in enumerate(sizes)], "doc_id long, text string")
+    got = packing.pack(docs, islands=3, epochs=3, generations=30).collect()
+    n, least = check_packing(got, {i: ["a" + " a" * (n - 2)] for i, n in enumerate(sizes)})
+    assert least == 100 and n < fit
+
+
 def test_encoders_agree():
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(packing.default_vocabulary()[0])
-    tok.encode_special_tokens = True
     encode = packing.make_encoder(packing.default_vocabulary())
     rng = random.Random(2)
-    for t in ["<|endoftext|> x", "١٢٣ Ⅷ 你好 \U0001f600 it's", "x" * 5000, " " * 5000 + "a", *("".join(rng.choice("ab \n\t'sé1 #.Z") for _ in range(30)) for _ in range(300))]:
+    for t in ["<|endoftext|> x", "hello <|endoftext|> x", "١٢٣ Ⅷ 你好 \U0001f600 it's", "x" * 5000, " " * 5000 + "a", *("".join(rng.choice("ab \n\t'sé1 #.Z") for _ in range(30)) for _ in range(300))]:
         assert np.frombuffer(encode(t), "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids
 
 
@@ -205,7 +220,7 @@ def test_held_out_language_accuracy(documents):
 
 
 def test_text_likelihood_brute_force(spark):
-    texts = ["abc def", "", "xy", "Ünïcode text", "1234 ###"]
+    texts = ["abc def", "", "xy", "Ünïcode text", "1234 ###", "last one", "", ""]
     table = np.random.default_rng(0).normal(size=(language_id.BUCKETS, 3)).astype(np.float32)
     table[language_id.BLANK] = 0
     d = spark.createDataFrame(list(enumerate(texts)), "id long, txt string").coalesce(1)
@@ -222,6 +237,98 @@ def test_pages_evidence(spark):
     assert got[2]["host"] is None and got[3]["host"] == "a.example.com" and got[3]["declared"] is None
 
 
+def brute_posteriors(rows, langs, table):
+    """The fusion of all evidence for rows (id, host, domain, suffix, declared, text), as the module's docstring states it."""
+    k, share = len(langs) + 1, language_id.STRENGTH
+    names = [*langs, "und"]
+    soft = lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+    ll = []
+    for r in rows:
+        raw = np.frombuffer(r[5].encode(), np.uint8)
+        ll.append(table[language_id._buckets(raw)].astype(float).sum(axis=0) if len(raw) >= 3 else np.zeros(k))
+    prior = np.log([(1 - language_id.UND_PRIOR) / (k - 1)] * (k - 1) + [language_id.UND_PRIOR])
+    q = [soft(x * language_id.TEMPER + prior) for x in ll]
+    said = [r[4] if r[4] in langs else r[4] and "other" for r in rows]
+    total = sum(q)
+    world = (total + 1e-3) / (total + 1e-3).sum()
+    add = lambda key: {v: (sum(q[i] for i in at), len(at)) for v in {key(r) for r in rows} for at in [[i for i, r in enumerate(rows) if key(r) == v]]}
+    hosts, domains, suffixes = add(lambda r: r[1:4]), add(lambda r: r[2:4]), add(lambda r: r[3])
+    out = {}
+    for i, r in enumerate(rows):
+        up = (suffixes[r[3]][0] + share * world) / (suffixes[r[3]][1] + share)
+        up = (domains[r[2:4]][0] + share * up) / (domains[r[2:4]][1] + share)
+        own = (hosts[r[1:4]][0] - q[i] + share * up) / (hosts[r[1:4]][1] - 1 + share)
+        mark = np.log((sum(q[j] for j in range(len(rows)) if said[j] == said[i]) + 1) / (total + len(set(said))))
+        post = soft(ll[i] * language_id.TEMPER + np.log(np.maximum(own, 1e-6)) + mark)
+        out[r[0]] = (names[post.argmax()] if abs(ll[i]).sum() > 0 else "und", post.max(), names[q[i].argmax()] if abs(ll[i]).sum() > 0 else "und")
+    return out
+
+
+def _rows(spark, rows):
+    return spark.createDataFrame([(*r[:1], 0, *r[1:]) for r in rows], "id long, th long, host string, domain string, suffix string, declared string, txt string").repartition(3)
+
+
+def test_posteriors_brute_force(spark):
+    rng = random.Random(3)
+    table = np.random.default_rng(1).normal(-9, 1, size=(language_id.BUCKETS, 4)).astype(np.float32)
+    table[language_id.BLANK] = 0
+    langs = ["aa", "bb", "cc"]
+    places = [("x.a.com", "a.com", "com"), ("y.a.com", "a.com", "com"), ("b.com", "b.com", "com"), ("c.org", "c.org", "org"), (None, None, None)]
+    rows = [(i, *rng.choice(places), rng.choice([None, "aa", "bb", "zz"]), "".join(rng.choice("abcdef ") for _ in range(rng.choice([0, 2, 5, 20])))) for i in range(30)]
+    want = brute_posteriors(rows, langs, table)
+    got = {r["id"]: r for r in language_id.identify(_rows(spark, rows), langs, table).collect()}
+    assert len(got) == 30
+    for i, (lang, post, text_lang) in want.items():
+        assert (got[i]["lang"], got[i]["text_lang"]) == (lang, text_lang), (rows[i], got[i], want[i])
+        assert got[i]["posterior"] == pytest.approx(post, abs=1e-5)
+        assert got[i]["kept"] == (lang != "und" and post >= 0.3)
+
+
+def test_host_and_declaration_overturn_the_text(spark):
+    """A short text that leans to one language, at a host of the other, or declaring the other as its like do."""
+    table = np.full((language_id.BUCKETS, 3), -10.0, np.float32)
+    table[:, 2] = -12.0
+    at = lambda t: language_id._buckets(np.frombuffer(t.encode(), np.uint8))
+    table[at("aaaa"), 0], table[at("bbbb"), 1] = -4.0, -4.0
+    lean = "zaaaz"
+    table[at("zaa"), 0] = table[at("zaa"), 1] = -10.0
+    rows = [(i, "a.com" if i < 40 else "b.com", "d.com" if i < 40 else "e.com", "com", "bb" if i >= 80 else None, ("a" if i < 40 else "b") * 40) for i in range(120)]
+    rows += [(1000, "a.com", "d.com", "com", None, lean), (1001, "b.com", "e.com", "com", None, lean), (1002, None, None, None, "bb", lean), (1003, None, None, None, None, lean)]
+    table[at("aaa"), 0] = -8.0
+    got = {r["id"]: r for r in language_id.identify(_rows(spark, rows), ["aa", "bb"], table).collect()}
+    assert [got[i]["text_lang"] for i in (1000, 1001, 1002, 1003)] == ["aa"] * 4
+    assert [got[i]["lang"] for i in (1000, 1001, 1002)] == ["aa", "bb", "bb"]
+
+
+def test_junk_has_no_language(spark, documents):
+    rng = random.Random(2)
+    langs, table = language_id.fit(documents, "doc_id", "text", "lang", 1000)
+    assert langs == sorted({r["lang"] for r in documents.select("lang").distinct().collect()})
+    junk = ["".join(rng.choice("qxzjkvwpf#@0123456789 ") for _ in range(300)) for _ in range(20)] + ["12 34 $$$ ###", "=" * 500, "٣٤٥ 漢字かな交じり文" * 5]
+    got = language_id.identify(_rows(spark, [(i, None, None, None, None, t) for i, t in enumerate(junk)]), langs, table).collect()
+    assert not any(r["kept"] for r in got)
+
+
+def test_every_labelled_language_has_a_class(spark):
+    rows = [(i, f"{chr(97 + i % 9)}{chr(97 + i // 9)}{chr(110 + i % 7)} " * 9, f"l{i:03d}" if i < 90 else None) for i in range(99)] + [(500 + i, "tho then thing " * 3, "l000") for i in range(300)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    langs, table = language_id.fit(d, "doc_id", "text", "lang", 5)
+    assert langs == [f"l{i:03d}" for i in range(90)] and table.shape == (language_id.BUCKETS, 91)
+    got = {r["doc_id"]: r["lang"] for r in language_id.identify_documents(d.withColumn("source", F.lit("s")), fit_rows=5).collect()}
+    assert len(got) == 399 and np.mean([got[i] == f"l{i:03d}" for i in range(1, 90)]) > 0.9
+
+
+def test_pages_corners(spark, documents):
+    """Null, empty and repeated pages, columns with clashing names, an empty table."""
+    langs, table = language_id.fit(documents, "doc_id", "text", "lang", 50)
+    text = documents.first()["text"]
+    rows = [(1, None, None), (2, "", ""), (3, "http://a.com", f"<html lang=en>{text}</html>"), (3, "http://a.com", f"<html lang=en>{text}</html>"), (None, "x", text), (4, "http://b.org/" + "x" * 5000, text * 200)]
+    pages = spark.createDataFrame([(*r, "h", 1, "l") for r in rows], "page_id long, url string, html string, host string, n int, lang string")
+    got = language_id.identify(language_id.pages_rows(pages), langs, table).collect()
+    assert len(got) == 6 and sorted((str(r["id"]), r["lang"] != "und") for r in got) == [("1", False), ("2", False), ("3", True), ("3", True), ("4", True), ("None", True)]
+    assert language_id.identify(language_id.pages_rows(pages.limit(0)), langs, table).count() == 0
+
+
 # 4: line dedup
 
 
