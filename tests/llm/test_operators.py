@@ -785,3 +785,26 @@ def test_pipeline(spark, tmp_path, corner, empty):
             docs = spark.read.parquet(str(folder / str(k)))
         assert (docs.count() == 0) == (name == "empty")
     assert Path(folder).exists()
+
+
+def test_pipeline_brute_force(spark, documents):
+    """Each stage's decisions over what the one before kept."""
+    rng = random.Random(4)
+    long_ = [r["text"] for r in documents.where("n_chars > 600").orderBy("doc_id").limit(25).collect()]
+    texts = long_ + [long_[3], long_[3].replace(" ", "  "), long_[4] + " tail", "\n" + long_[5], "x9 " * 3, None, "", "qz#9 " * 50] + [" ".join(w for w in long_[6].split() if rng.random() > 0.01)]
+    docs = spark.createDataFrame([(i, t, "en", f"s{i % 4}", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    out = [docs]
+    for _, stage in corpus_pipeline.STAGES:
+        out.append(stage(spark, out[-1], SMALL).cache())
+    ids = [[r["doc_id"] for r in d.collect()] for d in out]
+    texts = dict(enumerate(texts))
+    judged = {r["doc_id"]: r["kept"] for r in language_id.identify_documents(docs).collect()}
+    assert sorted(ids[1]) == sorted(i for i in ids[0] if judged[i]) and set(ids[1]) >= set(range(29)) and not {30, 31} & set(ids[1])
+    assert sorted(ids[2]) == sorted(min(g) for g in brute_groups([(i, texts[i]) for i in ids[1]]).values())
+    assert sorted(ids[3]) == sorted(min(map(int, c)) for c in brute_classes([(i, texts[i]) for i in ids[2]]))
+    taken = {r["doc_id"]: r["copies"] for r in mixing.copies(out[3]).collect()}
+    assert Counter(ids[4]) == Counter({i: n for i, n in taken.items() if n}) and max(taken.values()) <= 2
+    by = defaultdict(list)
+    for i in ids[4]:
+        by[i].append(texts[i])
+    check_packing(out[5].collect(), by)
