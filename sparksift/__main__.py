@@ -8,7 +8,6 @@ import sys
 import time
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 from .functions.levels import parse_level
 from .plans.scan import scan_files
@@ -16,7 +15,7 @@ from .rules.catalog import DEFAULT
 from .rules.loader import load
 from .rules.model import ScanOptions
 from .sources import sinks
-from .sources.files import list_files
+from .sources.files import SKIPPED_DIRS, list_files
 
 
 def _size(text: str) -> int:
@@ -28,6 +27,17 @@ def _size(text: str) -> int:
     return int(t)
 
 
+def _settings(path: str | None) -> dict[str, object]:
+    """section.key -> value of a YAML file; empty values are left out."""
+    if not path:
+        return {}
+    import yaml
+
+    with open(path) as f:
+        tree = yaml.safe_load(f) or {}
+    return {f"{section}.{k}": v for section, values in tree.items() if isinstance(values, dict) for k, v in values.items() if v not in (None, "")}
+
+
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="sparksift")
     sub = p.add_subparsers(dest="command", required=True)
@@ -39,8 +49,9 @@ def main(argv: list[str] | None = None) -> int:
     s.add_argument("--output")
     s.add_argument("--audit")
     s.add_argument("--ext", default="")
-    s.add_argument("--max-size", default="0")
-    s.add_argument("--min-confidence", type=float, default=0.60)
+    s.add_argument("--max-size")
+    s.add_argument("--min-confidence", type=float)
+    s.add_argument("--config", help="YAML with scanner, rules, scoring and output sections; options given here come first")
     s.add_argument("--flat", action="store_true")
     s.add_argument("--dry-run", action="store_true")
     r = sub.add_parser("rules")
@@ -55,7 +66,9 @@ def main(argv: list[str] | None = None) -> int:
     if a.command == "copy-rules":
         shutil.copytree(a.source, a.target, dirs_exist_ok=True)
         return 0
-    catalog = load(a.rules) if getattr(a, "rules", None) else DEFAULT
+    settings = _settings(getattr(a, "config", None))
+    rules = getattr(a, "rules", None) or settings.get("rules.index")
+    catalog = load(rules) if rules else DEFAULT
     if a.command == "rules":
         print(f"{len(catalog.ordered())} rules, {len(catalog.compounds)} compound rules")
         return 0
@@ -73,16 +86,19 @@ def main(argv: list[str] | None = None) -> int:
             print(row["path"])
         return 0
     least = parse_level(a.level)
-    scan = scan_files(spark, a.path, catalog, ScanOptions(min_confidence=a.min_confidence), not a.flat, extensions, _size(a.max_size))
+    pick = lambda given, key, default: given if given is not None else settings.get(key, default)
+    options = ScanOptions(min_confidence=float(pick(a.min_confidence, "rules.min_confidence", 0.60)), window=int(settings.get("rules.context_window", 200)), entropy_threshold=float(settings.get("scoring.entropy_threshold", 4.5)))
+    skip = tuple(settings.get("scanner.skip_dirs", SKIPPED_DIRS))
+    scan = scan_files(spark, a.path, catalog, options, not a.flat, extensions, _size(str(pick(a.max_size, "scanner.max_file_size", "50MB"))), skip)
     shown = scan.shown(least)
-    rows = {"jsonl": sinks.json_rows, "csv": sinks.csv_rows}.get(a.format, lambda d, k: d.select(F.concat_ws(" ", "level", k, F.col("match_count")).alias("value")))(shown, "path")
+    rows = {"jsonl": sinks.json_rows, "csv": sinks.csv_rows}.get(a.format, sinks.text_rows)(shown, "path")
     if a.output:
         (rows.write.csv(a.output, header=True) if a.format == "csv" else rows.write.text(a.output))
     else:
         for row in rows.toLocalIterator():
             print(*row, sep=",")
-    if a.audit:
-        sinks.write_audit(scan.results, "path", a.audit, least)
+    if audit := a.audit or settings.get("output.audit_log"):
+        sinks.write_audit(scan.results, "path", audit, least)
     if a.format == "text":
         print(sinks.summary(scan.results, least))
     return 0

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.levels import CONFIDENTIAL, label_of, level_code
@@ -97,8 +97,8 @@ def document_levels(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", c
 
 def level_distribution(levels: DataFrame, least: int = 1) -> DataFrame:
     """Documents per level, from `least` up, and how many were scanned."""
-    total = levels.agg(F.count(F.lit(1)).alias("scanned"))
-    return levels.where(F.col("level_code") >= least).groupBy("level").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(total), F.lit(True))
+    g = levels.groupBy("level_code", "level").agg(F.count(F.lit(1)).alias("n"))  # four rows at most
+    return g.withColumn("scanned", F.sum("n").over(Window.partitionBy(F.lit(0)))).where(F.col("level_code") >= least).select("level", "n", "scanned")
 
 
 def top_findings(found: DataFrame, id_col: str = "doc_id", k: int = 3) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +13,10 @@ from ..operators.detect import findings
 from ..operators.rollup import document_levels
 from ..rules.catalog import DEFAULT
 from ..rules.model import Catalog, ScanOptions
-from ..sources.files import list_files, read_files
+from ..sources.files import SKIPPED_DIRS, list_files, read_files
+
+#: Larger files are skipped, unless a scan says otherwise; 0 stands for no limit.
+MAX_SIZE = 50 << 20
 
 
 @dataclass(frozen=True)
@@ -35,9 +39,9 @@ def scan_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return Scan(found, document_levels(docs, found, id_col, catalog, options))
 
 
-def scan_files(spark: SparkSession, root: str, catalog: Catalog = DEFAULT, options: ScanOptions = ScanOptions(), recursive: bool = True, extensions: tuple[str, ...] = (), max_size: int = 0) -> Scan:
-    """Files below a root. Too large ones keep a row with their status."""
-    files = read_files(list_files(spark, root, recursive, extensions), max_size)
+def scan_files(spark: SparkSession, root: str, catalog: Catalog = DEFAULT, options: ScanOptions = ScanOptions(), recursive: bool = True, extensions: tuple[str, ...] = (), max_size: int = MAX_SIZE, skip_dirs: tuple[str, ...] = SKIPPED_DIRS) -> Scan:
+    """Files below a root. Too large ones keep a row with their status. Texts are kept on the executors' disks, so that each file is read once; a lost one's are read again."""
+    files = read_files(list_files(spark, root, recursive, extensions, skip_dirs=skip_dirs), max_size).persist(StorageLevel.DISK_ONLY)
     scan = scan_texts(files, "path", "text", catalog, options)
     code = F.array_position(F.array(*[F.lit(s) for s in STATES]), F.col("status")).cast("int") - 1
-    return Scan(scan.findings, scan.results.join(files.select("path", code.alias("status_code"), "error"), "path"))
+    return Scan(scan.findings, scan.results.join(files.select("path", code.alias("status_code"), "error", F.col("duration_ms").alias("scan_duration_ms")), "path"))

@@ -1,16 +1,20 @@
 """File listings as DataFrames, and the text of the files they name.
 
 Spark's own file index hides names that begin with a dot or underscore, so the
-listing walks the tree itself; only names and sizes pass through the driver, in
-bounded batches when written. Contents are read on the executors, a batch of
-paths at a time; the root must be on storage that all of them see.
+listing walks the tree itself. The driver looks for no more folders than are
+needed to share the work (FOLDERS); the executors list them and what is below,
+so that no file's name passes through the driver. Contents are read there as
+well; the root must be on storage that all of them see.
 """
 
 from __future__ import annotations
 
 import os
 import stat
+import time
+from collections import deque
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +25,10 @@ from ..operators.content import decoded, encoding, is_binary
 
 SKIPPED_DIRS = (".git", ".hg", ".idea", ".svn", ".venv", ".vscode", "__pycache__", "node_modules")
 SCHEMA = "path string, ext string, length long"
+#: Folders that the listing is shared out by.
+FOLDERS = 512
+#: Contents that are handed on at a time, and names that are.
+BATCH_BYTES, BATCH_NAMES = 16 << 20, 10_000
 
 
 def _ext(name: str) -> str:
@@ -54,19 +62,45 @@ def walk(root: str, recursive: bool = True, skip_dirs: tuple[str, ...] = SKIPPED
                 yield e.path, _ext(e.name), e.stat(follow_symlinks=False).st_size
 
 
+def _shares(root: str, recursive: bool, skip_dirs: tuple[str, ...]) -> list[tuple[str, bool]]:
+    """(folder, with all below it) that make up the tree, breadth first until there are FOLDERS of them."""
+    skipped = {d.lower() for d in skip_dirs}
+    flat, deep = [], deque([root])
+    while recursive and deep and len(flat) + len(deep) < FOLDERS:
+        folder = deep.popleft()
+        flat.append((folder, False))
+        try:
+            with os.scandir(folder) as entries:
+                deep.extend(sorted(e.path for e in entries if e.is_dir(follow_symlinks=False) and e.name.lower() not in skipped))
+        except OSError:
+            continue
+    return [*flat, *((d, recursive) for d in deep)]
+
+
 def list_files(spark: SparkSession, root: str, recursive: bool = True, extensions: tuple[str, ...] = (), max_size: int = 0, skip_dirs: tuple[str, ...] = SKIPPED_DIRS) -> DataFrame:
     """path, ext, length of the files below root."""
     wanted = {e.lower().lstrip(".") for e in extensions}
-    rows = [r for r in walk(root, recursive, skip_dirs) if (not wanted or r[1] in wanted) and (max_size <= 0 or r[2] <= max_size)]
-    return spark.createDataFrame(rows, SCHEMA)
+    shares = _shares(root, recursive, skip_dirs)
+
+    def names(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for folder, deep in zip(pdf["folder"], pdf["deep"]):
+                found = (r for r in walk(folder, bool(deep), skip_dirs) if (not wanted or r[1] in wanted) and (max_size <= 0 or r[2] <= max_size))
+                while rows := list(islice(found, BATCH_NAMES)):
+                    yield pd.DataFrame(rows, columns=["path", "ext", "length"])
+
+    tasks = spark.createDataFrame(shares, "folder string, deep boolean")
+    return tasks.repartition(min(len(shares), 4 * spark.sparkContext.defaultParallelism)).mapInPandas(names, SCHEMA)
 
 
 def read_files(listing: DataFrame, max_size: int = 0) -> DataFrame:
-    """path, ext, length, status, error, text: extracted by extension, or decoded if the file isn't binary."""
+    """path, ext, length, status, error, text (extracted by extension, or decoded if the file isn't binary), duration_ms of reading and extracting."""
 
     def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows, size = [], 0
         for pdf in batches:
-            for row in pdf.itertuples(index=False):  # one file at a time: contents may be large
+            for row in pdf.itertuples(index=False):
+                began = time.monotonic()
                 content = text = error = None
                 status = "OK"
                 try:
@@ -83,13 +117,20 @@ def read_files(listing: DataFrame, max_size: int = 0) -> DataFrame:
                     content, error = None, f"{type(e).__name__}: {e}"
                     low = error.lower()
                     status = "TIMEOUT" if isinstance(e, TimeoutError) else "ENCRYPTED" if "encrypt" in low or "password" in low else "ERROR"
-                yield pd.DataFrame({"path": [row.path], "ext": [row.ext], "length": [row.length], "status": [status], "error": [error], "text": [text], "content": [content]})
-
-    raw = listing.mapInPandas(load, SCHEMA + ", status string, error string, text string, content binary")
+                rows.append((row.path, row.ext, row.length, status, error, text, content, int(1000 * (time.monotonic() - began))))
+                size += len(content or text or "")
+                if size >= BATCH_BYTES:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows, size = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=columns)
+
+    columns = ["path", "ext", "length", "status", "error", "text", "content", "duration_ms"]
+    raw = listing.mapInPandas(load, SCHEMA + ", status string, error string, text string, content binary, duration_ms long")
     binary = F.col("content").isNotNull() & is_binary(F.col("ext"), F.col("content"))
     status = F.when(binary, "SKIPPED_BINARY").otherwise(F.col("status"))
     text = F.when(F.col("content").isNotNull() & ~binary, decoded(F.coalesce("content", F.lit(b"")), encoding(F.coalesce("content", F.lit(b""))))).otherwise(F.col("text"))
-    return raw.select("path", "ext", "length", status.alias("status"), "error", text.alias("text"))
+    return raw.select("path", "ext", "length", status.alias("status"), "error", text.alias("text"), "duration_ms")
 
 
 def ground_truth(spark: SparkSession, path: str) -> DataFrame:

@@ -12,7 +12,22 @@ def json_rows(results: DataFrame, path_col: str) -> DataFrame:
     """One JSON value per document."""
     status = F.coalesce("status_code", F.lit(STATES.index("OK"))) if "status_code" in results.columns else F.lit(STATES.index("OK"))
     error = F.col("error") if "error" in results.columns else F.lit(None).cast("string")
-    return results.select(F.to_json(F.struct(F.col(path_col).alias("path"), status.alias("status_code"), "level_code", "level", "matches", error.alias("error"))).alias("value"))
+    took = F.col("scan_duration_ms") if "scan_duration_ms" in results.columns else F.lit(0)
+    return results.select(F.to_json(F.struct(F.col(path_col).alias("path"), status.alias("status_code"), "level_code", "level", took.cast("long").alias("scan_duration_ms"), "matches", error.alias("error"))).alias("value"))
+
+
+def text_rows(results: DataFrame, path_col: str, most: int = 3) -> DataFrame:
+    """A block of text per document: status, level, the first `most` findings (0: all) and how many more there are."""
+    status = state_label(F.col("status_code")) if "status_code" in results.columns else F.lit("OK")
+    error = F.col("error") if "error" in results.columns else F.lit(None).cast("string")
+    took = F.col("scan_duration_ms") if "scan_duration_ms" in results.columns else F.lit(0)
+    n = F.coalesce(F.size("matches"), F.lit(0))
+    shown = F.slice("matches", 1, most) if most else F.col("matches")
+    lines = F.transform(shown, lambda m: F.format_string("  - %s conf=%.2f offset=%d len=%d", m["rule_id"], m["confidence"], m["offset"], m["length"]))
+    more = F.when((n > most) & F.lit(most > 0), F.array(F.format_string("  ... and %d more matches", n - most))).otherwise(F.array().cast("array<string>"))
+    body = F.when(error.isNotNull(), F.array(F.concat(F.lit("  error: "), error))).when(n == 0, F.array(F.lit("  no findings"))).otherwise(F.concat(lines, more))
+    head = F.array(F.concat(F.lit("["), status, F.lit("/"), "level", F.lit("] "), F.col(path_col).cast("string")), F.format_string("  matches: %d  duration: %dms", n, took.cast("long")))
+    return results.select(F.array_join(F.concat(head, body), "\n").alias("value"))
 
 
 def csv_rows(results: DataFrame, path_col: str) -> DataFrame:
@@ -30,6 +45,12 @@ def audit_rows(results: DataFrame, path_col: str, least: int = 1) -> DataFrame:
     return r.select("path", "level", F.col("m.rule_id").alias("rule"), F.col("m.offset").alias("offset"), F.round("m.confidence", 4).alias("confidence"))
 
 
+def evaluation_rows(pairs: DataFrame, path_col: str) -> DataFrame:
+    """A row per evaluated document, as of the evaluation's CSV; is_edge, duration_ms and error where pairs has them."""
+    own = lambda c, none: F.col(c) if c in pairs.columns else none
+    return pairs.select(F.col(path_col).alias("file"), "expected", "predicted", (F.col("expected") == F.col("predicted")).alias("correct"), own("is_edge", F.lit(False)).alias("is_edge"), F.format_string("%.2f", own("duration_ms", F.lit(0)).cast("double")).alias("duration_ms"), F.coalesce(own("error", F.lit(None).cast("string")), F.lit("")).alias("error"))
+
+
 def write_audit(results: DataFrame, path_col: str, path: str, least: int = 1) -> None:
     """Appends JSON lines with the time of writing."""
     audit_rows(results, path_col, least).withColumn("ts", F.current_timestamp()).write.mode("append").json(path)

@@ -59,10 +59,39 @@ def test_command_line(spark, tree, tmp_path_factory, capsys):
     assert spark.read.json(str(out / "a")).where("ts is not null").count() >= 3
     assert scan_results(spark, str(out / "r")).count() == 3
     assert main(["rules"]) == 0 and "25 rules" in capsys.readouterr().out
+    (out / "c.yaml").write_text("scanner:\n  max_file_size: 4B\n  skip_dirs: [sub]\nrules:\n  min_confidence: 0.6\noutput:\n  audit_log: ''\n")
+    assert main(["scan", "--path", str(tree), "--level", "PUBLIC", "--config", str(out / "c.yaml")]) == 0
+    text = capsys.readouterr().out
+    assert "sub/b.csv" not in text and "[SKIPPED_TOO_LARGE/PUBLIC]" in text and "scanned: 8" in text  # with .git, which the settings do not skip
     with pytest.raises(ValueError):
         main(["scan", "--path", str(tree), "--level", "WRONG"])
 
 
+def test_text_and_evaluation_rows(spark):
+    m = [("r_001", i, 4, 0.9) for i in range(5)]
+    schema = "path string, status_code int, level string, error string, scan_duration_ms long, matches array<struct<rule_id:string,offset:long,length:int,confidence:double>>"
+    d = spark.createDataFrame([("a", 1, "INTERNAL", None, 7, m), ("b", 1, "PUBLIC", None, 0, None), ("c", 2, "PUBLIC", "IOError: x", 1, None)], schema)
+    a, b, c = (r["value"].split("\n") for r in sinks.text_rows(d, "path").collect())
+    assert a == ["[OK/INTERNAL] a", "  matches: 5  duration: 7ms", *(f"  - r_001 conf=0.90 offset={i} len=4" for i in range(3)), "  ... and 2 more matches"]
+    assert b[2:] == ["  no findings"] and c[0] == "[ERROR/PUBLIC] c" and c[2:] == ["  error: IOError: x"]
+    assert len(sinks.text_rows(d, "path", 0).first()["value"].split("\n")) == 7
+    pairs = spark.createDataFrame([("x", "PUBLIC", "SECRET", 3)], "k string, expected string, predicted string, duration_ms long")
+    assert tuple(sinks.evaluation_rows(pairs, "k").first()) == ("x", "PUBLIC", "SECRET", False, False, "3.00", "")
+
+
+def test_listing_is_shared_out(spark, tmp_path, monkeypatch):
+    from sparksift.sources import files
+
+    for k in range(40):
+        folder = tmp_path / f"d{k % 7}" / f"e{k % 3}"
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / f"f{k}.txt").write_text("x")
+    want = sorted(r[0] for r in walk(str(tmp_path)))
+    for most in (1, 4, 9, 512):
+        monkeypatch.setattr(files, "FOLDERS", most)
+        assert sorted(r["path"] for r in list_files(spark, str(tmp_path)).collect()) == want and len(want) == 40
+
+
 def _zip(files):
     b = io.BytesIO()
     with zipfile.ZipFile(b, "w") as z:
