@@ -759,6 +759,28 @@ def test_ngram_scores(spark, empty, monkeypatch, small):
     assert ngram.score(empty).count() == 0
 
 
+def test_ngram_search_goes_to_holders_alone(spark, monkeypatch):
+    """A line that all texts share is looked up in the one place that holds it, and not in every part of the corpus."""
+    for name, value in (("SHARD_TOKENS", 100), ("BLOCK_TOKENS", 100)):
+        monkeypatch.setattr(ngram, name, value)
+    found, search = [], ngram.search_deep
+
+    def noted(state, level, holders, folder):
+        out = search(state, level, holders, folder).cache()
+        found.append((holders, out.where("kind = 0").count(), out.where("kind = 1").count()))
+        return out
+
+    monkeypatch.setattr(ngram, "search_deep", noted)
+    rng = random.Random(3)
+    line = " ".join(f"shared{i}" for i in range(12))
+    own = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(10))
+    rows = [(i, f"{own()} {line} {own()}") for i in range(60)]
+    got = sorted((str(r["doc_id"]), round(r["score"], 4)) for r in ngram.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect())
+    assert [g[1] for g in got] == pytest.approx([w[6] for w in brute_scores(rows)], abs=2e-4)
+    holders, blocks, reports = found[0]
+    assert holders > 15 and blocks > 1 and 0 < reports <= 2 * blocks
+
+
 def test_suffix_array():
     rng = np.random.default_rng(2)
     for n, v in ((0, 1), (1, 1), (50, 2), (400, 3), (300, 300)):
