@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, text_of, tidy
+from .common import cut, text_of, tidy, trimmed
 
 BLOCK_ITEMS = 16_384
 #: Merging one piece of text of n characters takes n ** 2 steps in the fast tokenizer; longer runs than this go to the other one.
@@ -58,11 +58,13 @@ def make_encoder(vocabulary: tuple[str, str, str]):
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
     fast = tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    slow = Tokenizer.from_file(json_path)
-    added = tuple(t.content for t in slow.get_added_tokens_decoder().values())
+    added = tuple(t.content for t in Tokenizer.from_file(json_path).get_added_tokens_decoder().values())
+    slow = None  # it takes much memory, and few texts need it
 
     def encode(text: str) -> bytes:
+        nonlocal slow
         if any(t in text for t in added) or len(text) >= 1000 and LONG_RUN.search(text):
+            slow = slow or Tokenizer.from_file(json_path)
             return array("I", slow.encode(text, add_special_tokens=False).ids).tobytes()
         return fast.encode_to_numpy(text, disallowed_special=()).tobytes()
 
@@ -229,12 +231,12 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
                 rows.append((block, (island + 1) % islands, raw, rows[0][3], rows[0][4]))
             return pd.DataFrame(rows, columns=["block", "island", "sizes", "packing", "bins"])
 
-        return run
+        return lambda t: trimmed(run(t))
 
     # Islands are little data and much work: adaptive execution would merge them into one task.
     spark = docs.sparkSession
     tasks = min(blocks * islands, max(8 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    state = rest.select("block", "length").groupBy("block").applyInPandas(start, STATE)
+    state = rest.select("block", "length").groupBy("block").applyInPandas(lambda t: trimmed(start(t)), STATE)
     for k in range(epochs):
         state = state.repartition(tasks, "block", "island").groupBy("block", "island").applyInPandas(epoch(k), STATE)
     best = state.groupBy("block").agg(F.min(F.struct("bins", "packing")).alias("b")).select("block", F.col("b.packing").alias("packing"))
@@ -246,5 +248,5 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
         out["offset"] = out.groupby("sequence_id")["length"].cumsum() - out["length"]
         return out
 
-    placed = rest.groupBy("block").cogroup(best.groupBy("block")).applyInPandas(place, full.schema)
+    placed = rest.groupBy("block").cogroup(best.groupBy("block")).applyInPandas(lambda t, b: trimmed(place(t, b)), full.schema)
     return full.unionByName(placed).select(F.col("id").alias(id_col), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -183,6 +183,14 @@ def test_genetic_packing_beats_best_fit(spark):
     assert least == 100 and n < fit
 
 
+def test_slow_encoder_is_loaded_when_needed():
+    """Python workers outlive their tasks beside the executor's heap, so what few texts need isn't held for all."""
+    encode = packing.make_encoder(packing.default_vocabulary())
+    held = lambda: dict(zip(encode.__code__.co_freevars, encode.__closure__))["slow"].cell_contents
+    assert len(encode("plain words")) == 8 and held() is None
+    assert encode("x" * 3000) and held() is not None
+
+
 def test_encoders_agree():
     from tokenizers import Tokenizer
 
