@@ -789,6 +789,32 @@ def test_ngram_search_goes_to_holders_alone(spark, monkeypatch):
     assert holders > 15 and blocks > 1 and 0 < reports <= 2 * blocks
 
 
+def test_ngram_search_sends_a_holder_only_what_it_has(spark, monkeypatch):
+    """Copied texts around a line that all share: the line goes to every holder, the rest of each text only to its own."""
+    for name, value in (("SHARD_TOKENS", 150), ("BLOCK_TOKENS", 500), ("FAN", 7)):
+        monkeypatch.setattr(ngram, name, value)
+    sent, route = [], ngram.route_deep
+
+    def noted(*args):
+        out = route(*args).cache()
+        sent.extend((r["holder"], int(ngram._unpack_runs(r["runs"])[2].sum())) for r in out.where("kind = 1").collect())
+        return out
+
+    monkeypatch.setattr(ngram, "route_deep", noted)
+    rng = random.Random(5)
+    line = " ".join(f"shared{i}" for i in range(8))
+    own = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(40))
+    held, train = ([i for i in range(300) if (zlib.crc32(str(i).encode()) % 7 == 2) == h] for h in (True, False))
+    rows = []
+    for g in range(20):
+        text = f"{own()} {line} {own()}"
+        rows += [(held[g], text), (train[2 * g], text), (train[2 * g + 1], text + " more")]
+    got = sorted((str(r["doc_id"]), round(r["score"], 4)) for r in ngram.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect())
+    assert [g[1] for g in got] == pytest.approx([w[6] for w in brute_scores(rows)], abs=2e-4)
+    assert len({h for h, _ in sent}) > 10
+    assert 20 * 88 <= sum(n for _, n in sent) <= 20 * (90 + 20 * 8)
+
+
 def test_suffix_array():
     rng = np.random.default_rng(2)
     for n, v in ((0, 1), (1, 1), (50, 2), (400, 3), (300, 300)):
