@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -65,6 +67,14 @@ def mask(text: Column) -> Column:
     return F.when(n <= 8, "****").otherwise(F.make_valid_utf8(F.concat(F.substring(b, 1, 4).cast("string"), F.lit("****"), F.substring(b, -4, 4).cast("string"))))
 
 
+def arrow_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of an Arrow string or binary column, and where each value starts; the last offset ends the last."""
+    wide = np.int64 if "large" in str(column.type) else np.int32
+    _, offsets, data = column.buffers()
+    o = np.frombuffer(offsets, dtype=wide)[column.offset : column.offset + len(column) + 1].astype(np.int64) if offsets is not None and len(column) else np.zeros(1, np.int64)
+    return np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8), o
+
+
 def entropy(binary: Column) -> Column:
     """Shannon entropy of the bytes, in bits; 0 for none."""
     v = latin1(binary)

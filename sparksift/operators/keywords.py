@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import byte_view
 from ..rules.catalog import DEFAULT
 from ..rules.model import Catalog, ScanOptions
-from .detect import distance, has_keyword, keyword_positions, spread, view, zone
+from .detect import distance, spread, view, zone
+from .occurrences import entry_hits, rules_with_keyword
 
 
 def keyword_table(spark, catalog: Catalog) -> DataFrame:
@@ -20,27 +20,18 @@ def keyword_table(spark, catalog: Catalog) -> DataFrame:
 def keyword_hits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", catalog: Catalog = DEFAULT) -> DataFrame:
     """Every occurrence of every keyword entry, overlapping ones too: id, rule_id, keyword, pri, offset in bytes.
 
-    Entries of a rule that repeat a keyword count repeatedly. The entries sit in
-    the plan as one literal array; only contained ones are looked for.
+    Entries of a rule that repeat a keyword count repeatedly. Words are searched
+    for in whole batches (see occurrences).
     """
-    entries: dict[str, list[tuple[str, bool]]] = {}
-    for r in catalog.ordered():
-        for w, p in r.keywords:
-            entries.setdefault(w, []).append((r.id, p))
-    words = F.array(*[F.struct(F.lit(w).alias("keyword"), F.lit(view(w)).alias("view"), F.array(*[F.struct(F.lit(i).alias("rule_id"), F.lit(p).alias("pri")) for i, p in e]).alias("entries")) for w, e in sorted(entries.items())])
     d = spread(docs.select(F.col(id_col), F.col(text_col).alias("__t"))).select(id_col, F.lower("__t").alias("__low"))
-    d = d.withColumn("__near", F.filter(words, lambda k: F.contains(F.col("__low"), k["keyword"]))).where(F.size("__near") > 0)
-    d = d.select(id_col, byte_view(F.col("__low")).alias("__v"), F.explode("__near").alias("k"))
-    d = d.select(id_col, "k", F.explode(keyword_positions(F.col("__v"), F.col("k.view"))).alias("offset"))
-    return d.select(id_col, "k.keyword", "offset", F.explode("k.entries").alias("e")).select(id_col, "e.rule_id", "keyword", "e.pri", F.col("offset").cast("long").alias("offset"))
+    d = d.select(id_col, entry_hits(F.col("__low"), catalog).alias("__hits"))
+    return d.select(id_col, F.explode("__hits").alias("h")).select(id_col, "h.*")
 
 
 def has_rule(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", catalog: Catalog = DEFAULT) -> DataFrame:
     """Per document the rules of which it contains some keyword."""
-    docs = spread(docs.select(F.col(id_col), F.col(text_col).alias("__t"))).select(id_col, F.lower("__t").alias("__low"))
-    low = F.col("__low")
-    flags = F.array(*[F.when(has_keyword(low, [w for w, _ in r.keywords]), r.id) for r in catalog.ordered()])
-    return docs.select(id_col, F.explode(F.array_compact(flags)).alias("rule_id"))
+    docs = spread(docs.select(F.col(id_col), F.col(text_col).alias("__t"))).select(id_col, rules_with_keyword(F.lower("__t"), catalog).alias("__rules"))
+    return docs.select(id_col, F.explode("__rules").alias("rule_id"))
 
 
 def primary_counts(hits: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -45,7 +45,8 @@ def _docs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _seeded(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.sql(seeded_sql().replace("FROM customer", "FROM {customer}"), customer=_table(spark, sf, "customer"))
+    """Texts made of few bytes of keys: the keys are spread, and texts made where they are scanned."""
+    return spark.sql(seeded_sql().replace("FROM customer", "FROM {customer}"), customer=spread(_table(spark, sf, "customer")))
 
 
 def _both(spark: SparkSession, sf: str) -> DataFrame:
