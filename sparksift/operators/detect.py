@@ -1,9 +1,9 @@
 """Findings: patterns over chunks, scored by keywords near them and by checksums.
 
-All of it is one narrow stage: gates, expressions, byte offsets, windows, scores.
-Patterns are literals of the plan, so that each expression is compiled once per
-task; only matches are exploded, and the rule attributes of a match come from a
-broadcast table with one row per pattern of the catalogue.
+All of it is one narrow stage: matches with their byte offsets and the keywords
+near them come from Arrow batches, scores are expressions. Only matches are
+exploded, and the rule attributes of a match come from a broadcast table with one
+row per pattern of the catalogue.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from ..functions.scalars import VALIDATORS, byte_slice, clamp01, latin1, mask
 from ..rules.catalog import CARD_CODE, CARD_EXPIRY, DEFAULT
 from ..rules.model import Catalog, Pattern, Rule, ScanOptions
 from .chunk import chunk as to_chunks
+from .occurrences import pattern_hits
 
 PLACEHOLDERS = r"your_api_key_here|your[-_]?password|changeme|placeholder|dummy|example|xxxxx|\*\*\*|\$\{"
 NO_REPLY = r"^(?:no-?reply|donotreply|mailer-daemon|bounce)@"
@@ -36,20 +37,13 @@ def view(word: str) -> str:
 def pattern_table(spark: SparkSession, catalog: Catalog) -> DataFrame:
     """One row per pattern: what scoring needs."""
     rows = [
-        (n, r.id, i, r.name, r.category, p.note, float(p.confidence * r.weight), list(p.validators), level_code(p.override) if p.override else r.level_code, float(r.card_boost), [(view(w), pr) for w, pr in r.keywords], [view(w) for w in r.escalation], level_code(r.escalate_to) if r.escalate_to else 0)
+        (n, r.id, i, r.name, r.category, p.note, float(p.confidence * r.weight), list(p.validators), level_code(p.override) if p.override else r.level_code, float(r.card_boost), [view(w) for w in r.escalation], level_code(r.escalate_to) if r.escalate_to else 0)
         for n, r, i, p in catalog.patterns()
     ]
-    schema = "pid int, rule_id string, pattern_idx int, rule_name string, category string, note string, base double, validators array<string>, rule_level int, card_boost double, keywords array<struct<kw:string,pri:boolean>>, escalation array<string>, escalate_to int"
+    schema = "pid int, rule_id string, pattern_idx int, rule_name string, category string, note string, base double, validators array<string>, rule_level int, card_boost double, escalation array<string>, escalate_to int"
     return spark.createDataFrame(rows, schema).coalesce(1)
 
 
-def has_keyword(low: Column, words: list[str]) -> Column:
-    """Does the lower-cased text contain one of the words?"""
-    words = sorted(set(words), key=lambda w: (len(w), w))
-    words = [w for i, w in enumerate(words) if not any(o in w for o in words[:i])]
-    return F.exists(F.array(*[F.lit(w) for w in words]), lambda k: F.contains(low, k)) if words else F.lit(False)
-
-
 def spread(docs: DataFrame) -> DataFrame:
     """Few input partitions, as of one small file, are spread over the cores; larger inputs stay as they are read."""
     cores = docs.sparkSession.sparkContext.defaultParallelism
@@ -64,43 +58,18 @@ def reachable(rule: Rule, p: Pattern, options: ScanOptions) -> bool:
     return round(min(1.0, best + rule.card_boost), 9) >= options.min_confidence
 
 
-def candidates(chunks: DataFrame, catalog: Catalog, options: ScanOptions | None = None) -> DataFrame:
-    """A row per match: pid, start, end, value, nth, and the chunk's columns.
+def candidates(chunks: DataFrame, catalog: Catalog, options: ScanOptions = ScanOptions(), raw: bool = False) -> DataFrame:
+    """A row per match: pid, start, end, value, nth, hundredths (what keywords near it give), and the chunk's columns with its lower-cased text.
 
-    Gates go from cheap to dear: a run of digits, the pattern's own gate, its
-    anchors, the rule's keywords, and only then the expression. With options,
-    patterns that can't reach the least confidence are left out.
+    RE2 says which chunks of a batch match (see occurrences). Patterns that can't
+    reach the least confidence are left out, unless raw.
     """
-    low, text = F.col("__low"), F.col("chunk")
-    d = chunks.withColumn("__low", F.lower("chunk")).withColumn("__odd", text.rlike("[ſKİ]")).withColumn("__d3", text.rlike("[0-9]{3}"))
-    patterns = [(n, r, i, p) for n, r, i, p in catalog.patterns() if options is None or reachable(r, p, options)]
-    values = []
-    for n, r, _, p in patterns:
-        gate = F.lit(True)
-        if p.gate:
-            gate = text.rlike(p.gate)
-            if re.search(r"\[0-9\]\{(?:[3-9]|1\d)[,}]", p.gate):
-                gate = F.col("__d3") & gate
-        if p.anchors:
-            gate = gate & (F.col("__odd") | has_keyword(low, list(p.anchors)))
-        if p.needs_context or r.exclude_if_no_keywords:
-            gate = gate & has_keyword(low, [w for w, _ in r.keywords])
-        values.append(F.when(gate, F.regexp_extract_all("chunk", F.lit(to_java(p.regex)), F.lit(0))).alias(f"__v{n}"))
-    keep = list(chunks.columns)
-    d = d.select(*keep, "__low", *values)
-    some = [F.when(F.size(f"__v{n}") > 0, F.struct(F.lit(n).alias("pid"), F.col(f"__v{n}").alias("v"), F.split("chunk", to_java(p.regex), -1).alias("gap"))) for n, r, _, p in patterns]
-    d = d.select(*keep, "__low", F.explode(F.array_compact(F.array(*some))).alias("c"))
-    sizes = F.zip_with(F.slice("c.gap", 1, F.size("c.v")), F.col("c.v"), lambda g, v: F.struct(F.octet_length(g).alias("g"), F.octet_length(v).alias("v")))
-    d = d.select(*keep, "__low", "c", sizes.alias("__s"))
-    starts = F.transform("c.v", lambda v, i: F.struct(v.alias("value"), (F.aggregate(F.slice(F.col("__s"), 1, i), F.lit(0), lambda a, x: a + x["g"] + x["v"]) + F.get(F.col("__s"), i)["g"]).alias("start"), i.alias("nth")))
-    return d.select(*keep, "__low", F.col("c.pid").alias("pid"), F.explode(starts).alias("m")).select(*keep, "__low", "pid", F.col("m.start").alias("start"), (F.col("m.start") + F.octet_length("m.value")).alias("end"), F.col("m.value").alias("value"), F.col("m.nth").alias("nth"))
-
-
-def keyword_positions(text: Column, word: Column) -> Column:
-    """Where the word starts in the text, in characters from 0, overlapping occurrences included."""
-    parts = F.split(text, F.concat(F.lit("(?=\\Q"), word, F.lit("\\E)")), -1)
-    at = F.transform(parts, lambda p, i: F.aggregate(F.slice(parts, 1, i), F.lit(0), lambda a, q: a + F.length(q)))
-    return F.filter(at, lambda x, i: (i > 0) | F.startswith(text, word))
+    keep = [*chunks.columns, "__low"]
+    patterns = [x for x in catalog.patterns() if raw or reachable(x[1], x[3], options)]
+    d = chunks.withColumn("__low", F.lower("chunk"))
+    d = d.select(*keep, pattern_hits(F.col("chunk"), F.col("__low"), patterns, options).alias("__hits"))
+    d = d.select(*keep, F.explode("__hits").alias("h")).withColumn("__b", F.encode("chunk", "UTF-8"))
+    return d.select(*keep, "__b", "h.pid", "h.start", "h.end", byte_slice(F.col("__b"), F.col("h.start"), F.col("h.end")).cast("string").alias("value"), "h.nth", F.col("h.boost").alias("hundredths"))
 
 
 def distance(at: Column, start: Column, end: Column) -> Column:
@@ -126,24 +95,18 @@ def findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ca
     """
     spark = docs.sparkSession
     base = to_chunks(spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))), "text", options)
-    m = candidates(base, catalog, None if raw else options).join(F.broadcast(pattern_table(spark, catalog)), "pid")
+    m = candidates(base, catalog, options, raw).join(F.broadcast(pattern_table(spark, catalog)), "pid")
     start, end, value = F.col("start"), F.col("end"), F.col("value")
     low_value = F.lower(value)
-    m = m.withColumn("__b", F.encode("chunk", "UTF-8"))
     before = F.substring_index(byte_slice(F.col("__b"), F.lit(0), start).cast("string"), "\n", -1)
     m = m.where(~before.rlike(COMMENT))
     m = m.where(~((F.col("rule_id") == "credentials_001") & low_value.rlike(PLACEHOLDERS)) & ~((F.col("rule_id") == "email_001") & low_value.rlike(NO_REPLY)))
     for name, check in VALIDATORS.items():
         m = m.where(~F.array_contains("validators", name) | check(value))
 
-    longest = max((len(view(w)) for r in catalog.rules for w, _ in r.keywords), default=0)
     low_bytes = F.encode(F.col("__low"), "UTF-8")
     n = F.octet_length("__b")
-    left = F.greatest(start - options.window, F.lit(0))
-    right = F.least(n, end + options.window - 1 + longest)
-    m = m.withColumn("__w", latin1(byte_slice(low_bytes, left, right))).withColumn("__near", F.filter("keywords", lambda k: F.contains(F.col("__w"), k["kw"])))
-    boosts = F.transform("__near", lambda k: F.aggregate(F.transform(keyword_positions(F.col("__w"), k["kw"]), lambda at: zone(distance(at + left, start, end), k["pri"], options)), F.lit(0), lambda a, x: a + x))
-    m = m.withColumn("boost", F.least(F.lit(options.most_boost), F.aggregate(boosts, F.lit(0), lambda a, x: a + x)) / 100.0)
+    m = m.withColumn("boost", F.col("hundredths") / 100.0)
     score = clamp01(F.col("base") + F.col("boost"))
     score = F.when(F.exists("validators", lambda v: v.isin(*VALIDATORS)), F.least(score + options.validator_bonus, F.lit(options.validator_most))).otherwise(score)
     far_left, far_right = F.greatest(start - AROUND, F.lit(0)), F.least(n, end + AROUND)

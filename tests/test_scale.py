@@ -42,12 +42,26 @@ def test_overlapping_words_end_with_their_text(spark):
     assert [r["doc_id"] for r in has_rule(docs(spark, "aaa", None, "a", "A"), catalog=c).collect()] == [0]
 
 
+def test_many_matches_in_a_chunk(spark):
+    d = docs(spark, "ab1234" + " é 123456" * 5000 + "x", "\x01 123456 \x02")
+    found = within(60, lambda: findings(d, catalog=MANY).select("doc_id", "offset", "length", "value").collect())
+    text = ("ab1234" + " é 123456" * 5000 + "x").encode()
+    assert {r["value"] for r in found} == {"123456"} and all(text[r["offset"] :].startswith(b"123456") for r in found if not r["doc_id"])
+    assert len(found) >= 5000 and [r["offset"] for r in found if r["doc_id"]] == [2]
+
+
 def test_seeded_texts_are_spread(spark):
     """A union with a table of many partitions leaves the few of the other one as they are."""
     least = 2 * spark.sparkContext.defaultParallelism
     assert core._seeded(spark, SMALL).rdd.getNumPartitions() >= least
 
 
+@pytest.mark.parametrize("run", [lambda d: near_match(findings(d, catalog=MANY), keyword_hits(d, catalog=MANY), 50), lambda d: explain_boost(findings(d, catalog=MANY), keyword_hits(d, catalog=MANY))])
+def test_keywords_of_many_texts(spark, run):
+    d = docs(spark, *["cvc 123456 " + "cvc " * 200] * 3000)
+    assert within(90, lambda: run(d).count()) == 3000
+
+
 def test_one_pass_for_several_expressions():
     texts = pa.array(["ab", None, "b", "zé", ""])
     got = {k: r.tolist() for k, r in occurrences.matching(texts, ["a", "b|é", "q"])}
