@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _ABSENT = {3, 5, 7, 9, 13, 16, 18, 21, 23, 28, 29, 32, 39, 41, 43, 47, 50, 53, 55, 57, 59, 61, 63, 65, 69, 71, 73, 76, 78, 81, 85, 88, 90}
 PROVINCES = tuple(f"{n:03d}" for n in range(1, 97) if n not in _ABSENT)
@@ -75,14 +76,16 @@ def arrow_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8), o
 
 
-def entropy(binary: Column) -> Column:
-    """Shannon entropy of the bytes, in bits; 0 for none."""
-    v = latin1(binary)
-    n = F.length(v)
-    present = F.filter(F.array_distinct(F.split(v, "")), lambda c: c != "")
-    counts = F.transform(present, lambda c: n - F.length(F.replace(v, c, F.lit(""))))
-    parts = F.aggregate(counts, F.lit(0.0), lambda acc, c: acc - (c / n) * F.log2(c / n))
-    return F.when(n > 0, parts).otherwise(F.lit(0.0))
+@F.arrow_udf(T.DoubleType())
+def entropy(binary: pa.Array) -> pa.Array:
+    """Shannon entropy of the bytes, in bits; 0 for none, null for null."""
+    data, o = arrow_bytes(binary)
+    out = np.zeros(len(binary))
+    for i in np.flatnonzero(np.diff(o)).tolist():
+        counts = np.bincount(data[o[i] : o[i + 1]])
+        p = counts[counts > 0] / (o[i + 1] - o[i])
+        out[i] = -(p * np.log2(p)).sum()
+    return pa.array(out, pa.float64(), mask=binary.is_null().to_numpy(zero_copy_only=False))
 
 
 def parse_bytes(c: Column) -> Column:

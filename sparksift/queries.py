@@ -224,7 +224,7 @@ def chunk_bounds(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("byte_entropy", "SELECT doc_id, round(-sum(p * log2(p)), 6) AS entropy FROM (SELECT doc_id, count(*) * 1.0 / sum(count(*)) OVER (PARTITION BY doc_id) AS p FROM (SELECT doc_id, substr(h, (2 * i + 1)::INT, 2) AS b FROM (SELECT doc_id, hex(encode(text)) AS h, unnest(range(octet_length(encode(text)))) AS i FROM documents)) GROUP BY doc_id, b) GROUP BY doc_id")
 def byte_entropy(spark: SparkSession, sf: str) -> DataFrame:
-    return spread(_docs(spark, sf)).select("doc_id", F.round(S.entropy(F.encode("text", "UTF-8")), 6).alias("entropy"))
+    return spread(_docs(spark, sf)).where(F.octet_length("text") > 0).select("doc_id", F.round(S.entropy(F.encode("text", "UTF-8")), 6).alias("entropy"))
 
 
 _D = "'4111111111111' || lpad(cast(c_custkey AS STRING), 6, '0')"

@@ -9,6 +9,7 @@ from conftest import SMALL
 from pyspark.sql import functions as F
 
 from sparksift import queries as core
+from sparksift.functions.scalars import entropy
 from sparksift.operators import occurrences
 from sparksift.operators.detect import findings
 from sparksift.operators.keywords import explain_boost, has_rule, keyword_hits, near_match
@@ -69,6 +70,20 @@ def test_one_pass_for_several_expressions():
     assert list(occurrences.spans(pa.array(["1a22", "\x01\x02é3"]), r"\d+")) == [[(0, 1), (2, 4)], [(4, 5)]]
 
 
+def test_entropy_by_counts(spark):
+    texts = ["aabb", "", None, "é", "".join(map(chr, range(128))) * 3000]
+    d = docs(spark, *texts)
+    plan = d.select(entropy(F.encode("text", "UTF-8")).alias("e"))
+    assert [r["e"] for r in plan.collect()] == [pytest.approx(x) if x is not None else None for x in (1.0, 0.0, None, 1.0, 7.0)]
+    assert "ArrowEvalPython" in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_byte_entropy_has_no_row_for_no_bytes(spark, tmp_path, duck):
+    docs(spark, "abc", "", None).write.parquet(f"{tmp_path}/documents.parquet")
+    duck.sql(f"CREATE TEMP VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert {r["doc_id"] for r in core.byte_entropy(spark, str(tmp_path)).collect()} == {r[0] for r in duck.sql(core.ORACLES["byte_entropy"]).fetchall()} == {0}
+
+
 def test_boosts_by_entries_of_a_word():
     from sparksift.rules.model import ScanOptions
 
