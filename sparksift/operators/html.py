@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Pages whose texts are held as Python strings at a time.
+PAGES = 256
+
 
 class _Visible(HTMLParser):
     def __init__(self):
@@ -37,6 +40,13 @@ def visible_text(html: str | None) -> str | None:
     return "\n".join(p.parts)
 
 
-@F.pandas_udf(T.StringType())
-def html_text(html: pd.Series) -> pd.Series:
-    return html.map(visible_text, na_action="ignore")
+@F.arrow_udf(T.StringType())
+def html_text(html: pa.Array) -> pa.Array:
+    """visible_text of each page. Pages become Python strings one at a time, so that a worker holds little more than its batch in Arrow, whatever the partition."""
+    parts = []
+    for i in range(0, len(html), PAGES):
+        parts.append(pa.array([visible_text(v.as_py()) for v in html.slice(i, PAGES)], pa.string()))
+    out = pa.concat_arrays(parts) if parts else pa.array([], pa.string())
+    del parts
+    pa.default_memory_pool().release_unused()
+    return out

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sparksift import queries as core
 from sparksift.functions.scalars import entropy
-from sparksift.operators import occurrences
+from sparksift.operators import html, occurrences
 from sparksift.operators.detect import findings
 from sparksift.operators.keywords import explain_boost, has_rule, keyword_hits, near_match
 from sparksift.rules.catalog import DEFAULT
@@ -84,6 +84,20 @@ def test_byte_entropy_has_no_row_for_no_bytes(spark, tmp_path, duck):
     assert {r["doc_id"] for r in core.byte_entropy(spark, str(tmp_path)).collect()} == {r[0] for r in duck.sql(core.ORACLES["byte_entropy"]).fetchall()} == {0}
 
 
+def test_pages_are_read_in_pieces():
+    """At no time are more than a piece of the pages Python strings."""
+    import tracemalloc
+
+    page = "<p>" + "word " * 4000 + "</p>"
+    pages = pa.array([page] * 3000 + [None])
+    tracemalloc.start()
+    out = html.html_text.func(pages)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3 * html.PAGES * len(page) < len(page) * 3000 / 2
+    assert len(out) == 3001 and out[3000].as_py() is None and out[0].as_py() == html.visible_text(page)
+
+
 def test_boosts_by_entries_of_a_word():
     from sparksift.rules.model import ScanOptions
 
