@@ -103,3 +103,23 @@ def test_boosts_by_entries_of_a_word():
 
     assert occurrences._points([("a", True), ("a", False), ("b", False)], ScanOptions()) == [(b"a", [(20, 22), (50, 15), (200, 7)]), (b"b", [(20, 7), (50, 5), (200, 2)])]
     assert np.array_equal(occurrences.rows_with(pa.array(["x", None]), occurrences.any_of(["xy", "x"])), [0]) and DEFAULT.patterns()
+
+
+def test_ngram_sends_batches_of_many_rows():
+    from sparksift.llm.common import merged
+
+    batches = [pa.RecordBatch.from_arrays([pa.array([i]), pa.array([b"x" * 100])], names=["i", "b"]) for i in range(2500)]
+    out = list(merged(iter)(batches))
+    assert [b.num_rows for b in out] == [1000, 1000, 500]
+    assert [x for b in out for x in b.column("i").to_pylist()] == list(range(2500))
+    assert [b.num_rows for b in merged(iter, size=250)(batches[:5])] == [3, 2]
+
+
+def test_ngram_pieces_follow_the_keys_that_are_left(spark):
+    from sparksift.llm.ngram import pieces
+
+    cores = 2 * spark.sparkContext.defaultParallelism
+    assert pieces(spark, 10**9, 10**6, 10**9) == 1000  # never more than the corpus makes
+    assert pieces(spark, 10**8, 10**6, 10**9) == 100
+    assert pieces(spark, 0, 10**6, 10**9) == cores
+    assert pieces(spark, 0, 10**6, 10) == 2
